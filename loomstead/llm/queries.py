@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from . import quality_rules
 from .media_columns import media_columns
 
 
@@ -14,9 +15,17 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.quality_rules(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return out.select("doc_id", *quality_rules.COLUMNS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_media_columns": op9_media_columns,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_quality_rules": quality_rules.ORACLE,
+}
