@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from . import quality_rules
+from . import jaccard_join, quality_rules
 from .media_columns import media_columns
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"))
 
@@ -21,11 +25,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_jaccard_join": op7_jaccard_join,
     "op9_media_columns": op9_media_columns,
     "op10_quality_rules": op10_quality_rules,
 }
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {
+    "op7_jaccard_join": jaccard_join.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
 }
