@@ -9,6 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from . import jaccard_join, quality_rules
 from .media_columns import media_columns
+from .suffix_dedup import suffix_dedup
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +30,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op7_jaccard_join": op7_jaccard_join,
     "op9_media_columns": op9_media_columns,
     "op10_quality_rules": op10_quality_rules,
