@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from . import jaccard_join, quality_rules
+from . import jaccard_join, piece_sampling, quality_rules
 from .media_columns import media_columns
 from .suffix_dedup import suffix_dedup
 
@@ -20,6 +20,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op8_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.encode(table(spark, sf_dir, "documents"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_piece_sampling": op8_piece_sampling,
     "op9_media_columns": op9_media_columns,
     "op10_quality_rules": op10_quality_rules,
 }
