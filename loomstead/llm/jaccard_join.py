@@ -37,7 +37,7 @@ from .components import components
 SHINGLE, NUM, DEN = 4, 85, 100
 
 #: Ratio of a band's sizes, group size up to which all pairs are candidates, rows of one numpy pass over groups.
-RATIO, SMALL, ROWS = 1.5, 12, 1 << 18
+RATIO, SMALL, ROWS = 1.5, 3, 1 << 18
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -243,14 +243,21 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> Da
     return two.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _unresolved(members: DataFrame, labels: DataFrame, seen: DataFrame) -> DataFrame:
-    """Pairs of members of one large group that are in different components, but for those seen before."""
+def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of one large group that are in different components."""
     named = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
     split = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     left = cut(named.join(split, "key").distinct())
     other = left.select("key", F.col("id").alias("b"), F.col("label").alias("other"))
-    pairs = left.withColumnRenamed("id", "a").join(other, "key").where("a < b AND label <> other").select("a", "b").distinct()
-    return pairs.join(seen, ["a", "b"], "left_anti")
+    return left.withColumnRenamed("id", "a").join(other, "key").where("a < b AND label <> other").select("a", "b").distinct()
+
+
+def _canonical(pairs: DataFrame, names: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs by the smallest id of either class, without those of one class or of sizes too far apart."""
+    one = pairs.join(names.select(F.col("id").alias("a"), F.col("rep").alias("x"), F.col("lo").alias("xlo"), F.col("hi").alias("xhi")), "a")
+    two = one.join(names.select(F.col("id").alias("b"), F.col("rep").alias("y"), F.col("lo").alias("ylo"), F.col("hi").alias("yhi")), "b")
+    near = two.where(f"x <> y AND xhi * {den} >= ylo * {num} AND yhi * {den} >= xlo * {num}")
+    return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def jaccard_links(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, num: int = NUM, den: int = DEN) -> tuple[DataFrame, DataFrame]:
@@ -258,15 +265,19 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", text: str = "text", k: i
     docs = docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     info = cut(set_info(docs, k))
     whole = info.where("n > 0 AND id IS NOT NULL")
-    classes = whole.groupBy("c1", "c2", "n").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    equal = whole.join(classes, ["c1", "c2", "n"]).select(F.col("id").alias("a"), "b").where("a <> b")
+    classes = whole.groupBy("c1", "c2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    known = cut(whole.join(classes, ["c1", "c2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")))
+    equal = known.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    # an id of several rows stands for itself, whatever classes they are in
+    names = known.groupBy("id").agg(F.when(F.count(F.lit(1)) == 1, F.min("rep")).otherwise(F.col("id")).alias("rep"), F.min("n").alias("lo"), F.max("n").alias("hi"))
     docs = docs.where("id IS NOT NULL")
     found = cut(_candidates(_index(docs, k, num, den)).distinct())
-    pairs = found.where("kind = 0").select("a", "b")
+    pairs = cut(_canonical(found.where("kind = 0").select("a", "b"), names, num, den))
     links = cut(_verify(pairs, docs, k, num, den).union(equal))
     labels = cut(components(links))
     members = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("id"))
-    rest = cut(_unresolved(members, labels, pairs))
+    rest = _unresolved(members, labels)
+    rest = cut(_canonical(rest, names, num, den).join(pairs, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         labels = cut(components(links.union(_verify(rest, docs, k, num, den))))
     return info, labels
