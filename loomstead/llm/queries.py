@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from . import jaccard_join, mixture, piece_sampling, quality_rules
+from . import jaccard_join, mixture, piece_sampling, quality_rules, secret_scan, site_quality
 from .line_dedup import line_dedup
 from .media_columns import media_columns
 from .suffix_dedup import suffix_dedup
@@ -19,6 +19,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.secret_scan(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "word_index", "nth", F.sha2("candidate", 256).alias("candidate_sha256"), "size", F.round("probability", 6).alias("probability"), "is_secret")
+
+
 def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixture.mixture(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("p", 6).alias("p"), "kept")
@@ -28,6 +33,12 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op6_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = site_quality.site_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    rounded = [F.round(c, 6).alias(c) for c in ("evidence", "host_quality", "path_quality", "quality")]
+    return out.select("doc_id", "host", "path", *rounded, "kept")
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -47,8 +58,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_secret_scan": op2_secret_scan,
     "op3_mixture": op3_mixture,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op6_site_quality": op6_site_quality,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_piece_sampling": op8_piece_sampling,
     "op9_media_columns": op9_media_columns,
@@ -58,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {
     "op3_mixture": mixture.ORACLE,
+    "op6_site_quality": site_quality.ORACLE,
     "op7_jaccard_join": jaccard_join.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
 }

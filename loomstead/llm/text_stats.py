@@ -36,7 +36,8 @@ def with_text_stats(df: DataFrame, text: str = "text", keep: list[str] | None =
     """`keep` columns (all but clashing statistics by default) plus the statistics in STATS, all bigint."""
     keep = [c for c in df.columns if c not in STATS] if keep is None else keep
     n, none = F.col("_n"), F.array().cast("array<bigint>")
-    step = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_t"))
+    # one struct holds what is kept, so no name of the input can clash with the steps' own
+    step = df.select(F.struct(*[F.col(f"`{c}`") for c in keep], F.lit(0).alias("_")).alias("_keep"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_t"))
     step = step.select("*", F.btrim("_t", F.lit(SPACES)).alias("_b"))
     step = step.select("*", F.when(F.col("_b") == "", F.array().cast("array<string>")).otherwise(F.split("_b", SPACE_CLASS + "+")).alias("_w"),
                        F.filter(F.split("_t", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "").alias("_l"))
@@ -52,8 +53,8 @@ def with_text_stats(df: DataFrame, text: str = "text", keep: list[str] | None =
     step = step.withColumn("_p", F.sort_array(F.filter(F.zip_with("_s", "_e", lambda s, e: F.when(e, s["i"])), lambda i: i.isNotNull()))).drop("_s", "_e")
     covered = _pairs(F.col("_p"), 1, F.size("_p"), lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW))))
     adjacent = _pairs(F.col("_h1"), 1, n, lambda a, b: F.coalesce(a == b, F.lit(False)))
-    return step.select(
-        *[F.col(f"`{c}`") for c in keep],
+    out = step.select(
+        "_keep",
         n.cast("bigint").alias("n_words"),
         (F.length("_t") - F.length(F.translate("_t", SPACES, ""))).alias("_blank"),
         F.length("_t").alias("_len"),
@@ -64,7 +65,9 @@ def with_text_stats(df: DataFrame, text: str = "text", keep: list[str] | None =
         _removed(F.col("_t"), UPPER).cast("bigint").alias("n_upper"),
         _removed(F.col("_t"), "!").cast("bigint").alias("n_exclaim"),
         F.size(F.filter(adjacent, lambda x: x)).cast("bigint").alias("n_adjacent"),
-    ).withColumn("word_chars", (F.col("_len") - F.col("_blank")).cast("bigint")).select(*[F.col(f"`{c}`") for c in keep], *STATS)
+    )
+    out = out.withColumn("word_chars", (F.col("_len") - F.col("_blank")).cast("bigint"))
+    return out.select(*[F.col(f"_keep.`{c}`").alias(c) for c in keep], *STATS)
 
 
 #: The same statistics in DuckDB: `src` holds rid (a row key), and the text. One CTE list without WITH.
