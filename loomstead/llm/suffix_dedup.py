@@ -2,7 +2,7 @@
 
 A suffix array of the whole corpus would have to move every position. Equal strings of `length` bytes hold
 the same smallest K-byte hash (their minimizer), so only strings under a minimizer that occurs twice or
-more can repeat. Each run of strings with one minimizer is cut out as a context (about 275 bytes for 76
+more can repeat. Each run of strings with one minimizer is cut out as a context (about 260 bytes for 58
 strings), equal contexts are counted as one, and contexts of a minimizer meet in one block. A block is put
 in order by two-stage suffix sorting (`suffix_sort`), and the common prefixes of neighbours tell which
 strings occur twice, in another context or in the same. Spans go back to the documents by context.
@@ -30,7 +30,7 @@ from .common import bytes_of, cut, offsets_of, prefix_sums, slices, span_hashes
 from .suffix_sort import Block
 
 #: Bytes of a string that must not repeat, bytes of the hashes whose smallest is a string's minimizer.
-LENGTH, K = 200, 50
+LENGTH, K = 200, 84
 
 #: Positions of a minimizer beyond which its strings are sorted one by one, bytes of a sorted block.
 HOT, BLOCK = 4096, 1 << 20
@@ -55,10 +55,11 @@ def _windows_min(values: np.ndarray, w: int) -> np.ndarray:
 
 
 def minimizer_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, ...]:
-    """(hash, row, start, n): runs of n neighbouring strings of `length` bytes that share a minimizer."""
+    """(hash, row, start, n, times): runs of n neighbouring strings of `length` bytes with one minimizer hash, which
+    stands at `times` places in the run (in periodic text it comes again and again)."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none, none, none
+        return none, none, none, none, none
     at = np.arange(len(data) - k + 1)
     hashes = span_hashes(prefix_sums(data), at, at + k)
     low = np.uint64((1 << BITS) - 1)
@@ -68,14 +69,18 @@ def minimizer_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH,
     inside = begins + length <= offsets[row + 1]
     begins, row, place = begins[inside], row[inside], (least[inside] & low).astype(np.int64)
     if not len(begins):
-        return none, none, none, none
+        return none, none, none, none, none
     opens = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (row[1:] != row[:-1]))))
+    key = hashes[place[opens]]
+    first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (row[opens[1:]] != row[opens[:-1]]))))
+    times = np.diff(np.append(first, len(opens)))
+    opens = opens[first]
     counts = np.diff(np.append(opens, len(begins)))
-    return hashes[place[opens]].view(np.int64), row[opens], begins[opens] - offsets[row[opens]], counts
+    return key[first].view(np.int64), row[opens], begins[opens] - offsets[row[opens]], counts, times
 
 
 def _runs(docs: DataFrame, length: int, k: int) -> DataFrame:
-    """(key, id, th, start, n) of every run of every document."""
+    """(key, id, th, start, n, times) of every run of every document."""
     piece = 1 << (BITS - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,12 +89,12 @@ def _runs(docs: DataFrame, length: int, k: int) -> DataFrame:
             # a text longer than a numpy pass is alone in its slice: cut it so that every string is in one piece
             for a in range(0, max(len(data), 1), piece):
                 b = min(len(data), a + piece + length - 1)
-                key, row, start, n = minimizer_runs(data[a:b], offsets if len(data) <= piece else np.array([0, b - a]), length, k)
+                key, row, start, n, times = minimizer_runs(data[a:b], offsets if len(data) <= piece else np.array([0, b - a]), length, k)
                 if len(key):
                     ids, th = (part.column(i).to_numpy()[row] for i in (0, 1))
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, ids, th, (start + a).astype(np.int32), n.astype(np.int32))], names=["key", "id", "th", "start", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, ids, th, (start + a).astype(np.int32), n.astype(np.int32), times.astype(np.int32))], names=["key", "id", "th", "start", "n", "times"])
 
-    return docs.select("id", "th", "text").mapInArrow(run, "key bigint, id bigint, th bigint, start int, n int")
+    return docs.select("id", "th", "text").mapInArrow(run, "key bigint, id bigint, th bigint, start int, n int, times int")
 
 
 def _repeats(contexts: DataFrame, length: int) -> DataFrame:
@@ -176,8 +181,8 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
         F.coalesce(F.col(f"`{key}`").cast("bigint"), F.lit(NO_KEY)).alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")
     ).withColumn("th", F.xxhash64("text"))
     runs = _runs(docs, length, k)
-    often = runs.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    runs = cut(runs.join(often, "key"))
+    often = runs.groupBy("key").agg(F.sum("times").alias("held")).where("held > 1")
+    runs = cut(runs.drop("times").join(often, "key"))
     body = F.col("text").cast("binary")
     whole = runs.join(docs, ["id", "th"])
     plain = whole.where(f"held <= {hot}").select("key", "id", "th", "start", F.substring(body, F.col("start") + 1, F.col("n") + (length - 1)).alias("context"))
