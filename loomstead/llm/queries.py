@@ -11,6 +11,7 @@ from .common import table
 from . import jaccard_join, mixture, piece_sampling, quality_rules, secret_scan, site_quality
 from .line_dedup import line_dedup
 from .media_columns import media_columns
+from .page_wrappers import main_text
 from .suffix_dedup import suffix_dedup
 
 
@@ -33,6 +34,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op5_page_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = site_quality.site_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     rounded = [F.round(c, 6).alias(c) for c in ("evidence", "host_quality", "path_quality", "quality")]
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_mixture": op3_mixture,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_page_wrappers": op5_page_wrappers,
     "op6_site_quality": op6_site_quality,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_piece_sampling": op8_piece_sampling,
