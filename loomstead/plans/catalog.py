@@ -28,3 +28,6 @@ def register(name: str, ops: str, sql: str | None = None):
         return run
 
     return enter
+
+
+from . import stream_queries  # noqa: E402,F401  the modules enter their queries above
