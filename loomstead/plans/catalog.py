@@ -30,4 +30,4 @@ def register(name: str, ops: str, sql: str | None = None):
     return enter
 
 
-from . import stream_queries  # noqa: E402,F401  the modules enter their queries above
+from . import feature_queries, stream_queries  # noqa: E402,F401  the modules enter their queries above
