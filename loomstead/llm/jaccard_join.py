@@ -120,16 +120,34 @@ def _set_hash(elements: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
+def sketch(elements: np.ndarray) -> np.ndarray:
+    """Parity sketch of a set: every element flips one of half as many bits (256 at least, a power of two).
+
+    Two sketches, the longer folded, differ in no more bits than the sets differ in elements, so a pair whose
+    sketches differ in more than its sets may is ruled out exactly.
+    """
+    bits = max(256, 1 << (len(elements) // 2).bit_length())
+    flips = np.bincount(((elements >> np.uint64(8)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def sketch_distance(a: np.ndarray, b: np.ndarray) -> int:
+    if len(a) > len(b):
+        a, b = b, a
+    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum())
+
+
 def set_info(docs: DataFrame, k: int) -> DataFrame:
-    """(id, n, c1, c2): size and 128-bit hash of every row's shingle set."""
+    """(id, n, c1, c2, sketch): size, 128-bit hash and parity sketch of every row's shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            found = [(len(s), *_set_hash(s)) for s in shingle_sets(part.column(1), k)]
-            columns = [pa.array(list(c), pa.int64()) for c in zip(*found)]
-            yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["id", "n", "c1", "c2"])
+            found = [(len(s), *_set_hash(s), sketch(s)) for s in shingle_sets(part.column(1), k)]
+            kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())]
+            columns = [pa.array(list(c), kind) for c, kind in zip(zip(*found), kinds)]
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["id", "n", "c1", "c2", "sketch"])
 
-    return docs.mapInArrow(run, "id bigint, n bigint, c1 bigint, c2 bigint")
+    return docs.mapInArrow(run, "id bigint, n bigint, c1 bigint, c2 bigint, sketch array<bigint>")
 
 
 def _index(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -253,11 +271,26 @@ def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _canonical(pairs: DataFrame, names: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs by the smallest id of either class, without those of one class or of sizes too far apart."""
-    one = pairs.join(names.select(F.col("id").alias("a"), F.col("rep").alias("x"), F.col("lo").alias("xlo"), F.col("hi").alias("xhi")), "a")
-    two = one.join(names.select(F.col("id").alias("b"), F.col("rep").alias("y"), F.col("lo").alias("ylo"), F.col("hi").alias("yhi")), "b")
-    near = two.where(f"x <> y AND xhi * {den} >= ylo * {num} AND yhi * {den} >= xlo * {num}")
-    return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    """The pairs by the smallest id of either class, without those of one class and those that sizes or sketches
+    rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            xs, ys = batch.column(3), batch.column(4)
+            good = np.ones(batch.num_rows, bool)
+            for i, most in enumerate(batch.column(2).to_pylist()):
+                x, y = xs[i].values, ys[i].values
+                good[i] = x is None or y is None or sketch_distance(x.to_numpy(), y.to_numpy()) <= most
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
+
+    side = lambda own, rep: names.select(F.col("id").alias(own), F.col("rep").alias(rep), F.col("lo").alias(f"{rep}lo"), F.col("hi").alias(f"{rep}hi"), F.col("sketch").alias(f"{rep}s"))
+    ids = names.select("id", "rep")
+    one = pairs.join(ids.select(F.col("id").alias("a"), F.col("rep").alias("x")), "a").join(ids.select(F.col("id").alias("b"), F.col("rep").alias("y")), "b")
+    named = one.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    two = named.join(side("a", "x").drop("x"), "a").join(side("b", "y").drop("y"), "b")
+    near = two.where(f"xhi * {den} >= ylo * {num} AND yhi * {den} >= xlo * {num}")
+    most = F.floor((F.col("xhi") + F.col("yhi")) * (den - num) / (den + num)).cast("bigint")
+    return near.select("a", "b", most.alias("most"), "xs", "ys").mapInArrow(run, "a bigint, b bigint")
 
 
 def jaccard_links(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, num: int = NUM, den: int = DEN) -> tuple[DataFrame, DataFrame]:
@@ -266,10 +299,10 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", text: str = "text", k: i
     info = cut(set_info(docs, k))
     whole = info.where("n > 0 AND id IS NOT NULL")
     classes = whole.groupBy("c1", "c2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    known = cut(whole.join(classes, ["c1", "c2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")))
+    known = cut(whole.join(classes, ["c1", "c2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"), "sketch"))
     equal = known.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     # an id of several rows stands for itself, whatever classes they are in
-    names = known.groupBy("id").agg(F.when(F.count(F.lit(1)) == 1, F.min("rep")).otherwise(F.col("id")).alias("rep"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    names = known.groupBy("id").agg(F.when(F.count(F.lit(1)) == 1, F.min("rep")).otherwise(F.col("id")).alias("rep"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.when(F.count(F.lit(1)) == 1, F.first("sketch")).alias("sketch"))
     docs = docs.where("id IS NOT NULL")
     found = cut(_candidates(_index(docs, k, num, den)).distinct())
     pairs = cut(_canonical(found.where("kind = 0").select("a", "b"), names, num, den))
