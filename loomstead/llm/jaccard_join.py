@@ -134,7 +134,8 @@ def sketch(elements: np.ndarray) -> np.ndarray:
 def sketch_distance(a: np.ndarray, b: np.ndarray) -> int:
     if len(a) > len(b):
         a, b = b, a
-    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum())
+    # unsigned, because the count of a negative number is that of its absolute value
+    return int(np.bitwise_count((a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).view(np.uint64)).sum())
 
 
 def set_info(docs: DataFrame, k: int) -> DataFrame:
