@@ -137,6 +137,11 @@ def valid_bounds(nodes: Column) -> Column:
     return F.filter(nodes, lambda n: fine(b(n)["left"]) & fine(b(n)["top"]) & fine(b(n)["right"]) & fine(b(n)["bottom"]) & (b(n)["right"] > b(n)["left"]) & (b(n)["bottom"] > b(n)["top"]))
 
 
+def in_bucket(bucket: str):
+    """Predicate over node structs. (A lambda with a second argument would be given the index.)"""
+    return lambda x: class_bucket(x["class_name"]) == bucket
+
+
 def node_features(df: DataFrame, nodes: str = "nodes") -> DataFrame:
     """Adds the ui_* columns of one node list (array of node structs): counts, ratios, class buckets, occupancy."""
     n = F.size(F.coalesce(F.col(nodes), F.array().cast(df.schema[nodes].dataType)))
@@ -148,7 +153,7 @@ def node_features(df: DataFrame, nodes: str = "nodes") -> DataFrame:
         out = out.withColumn(f"ui_{f}_count", flag(f))
     out = out.withColumn("ui_focusable_count", flag("focused"))
     for b in ("webview", "list", "switch", "edit"):
-        out = out.withColumn(f"_{b}", count(lambda x, b=b: class_bucket(x["class_name"]) == b))
+        out = out.withColumn(f"_{b}", count(in_bucket(b)))
     out = out.withColumn("ui_webview", (F.col("_webview") > 0).cast("double")).withColumn("ui_list", (F.col("_list") > 0).cast("double"))
     out = out.withColumn("ui_form_like_control_count", F.col("_switch") + F.col("_edit"))
     boxes = valid_bounds(F.col(nodes))
