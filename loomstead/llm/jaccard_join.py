@@ -3,12 +3,13 @@
 A document is its set of distinct word shingles. Sets are put in bands of size; two sets that reach the
 threshold lie in the same band or in neighbouring ones and differ by at most H elements, H following from
 the larger band. The universe of shingles is hashed into H + 1 segments, so at least one segment of such a
-pair is equal. A set is indexed under every non-empty segment. Empty segments would be costly, because all
-sets with the same gap meet there; a set leaves them out when it can give each one's share to a reserve
-segment, in which it then also finds sets that differ by one element: reserve segments are indexed with
-their one-deletion neighbourhoods too. A set with more gaps than usable reserve segments indexes the gaps
-as well, so the search stays exact. Documents that meet under a key are candidates, and every candidate
-pair is checked exactly on its whole texts.
+pair is equal. A set is indexed under its segments. Segments of one element or none are costly: all sets
+with the same gap, or the same popular shingle on its own, would meet there. A set leaves its costly segments
+out when it can give each one's share to a reserve segment of three elements or more, in which it then also
+finds sets that differ by one element: those are indexed with their one-deletion neighbourhoods too. There are
+as many reserve segments as the less filled sets of a band are expected to need; a set that needs more leaves
+out its empty segments only, or nothing, so the search stays exact. Documents that meet under a key are candidates, and every
+candidate pair is checked exactly on its whole texts.
 
 Sets that are equal form classes first (by a 128-bit hash of the set), and a task indexes a class once. In
 a key group of up to SMALL sets all pairs are candidates. In a larger one each set is paired with the
@@ -23,6 +24,7 @@ table gives an empty one; no column but key and text is read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,6 +86,13 @@ class Bands:
         high = self.low[band + 1] - 1
         return 2 * high * (self.den - self.num) // (self.den + self.num) + 1
 
+    def reserve(self, band: int) -> int:
+        """Reserve segments: the costly ones that the band's smaller sets expect, and a standard deviation."""
+        m = self.segments(band)
+        filled = 1.15 * self.low[band] / m
+        costly = m * math.exp(-filled) * (1 + filled)
+        return min(m, math.ceil(costly + math.sqrt(costly)))
+
     def of(self, n: int) -> list[int]:
         """The bands under which a set of n elements is indexed: its own, and the next if a partner may lie there."""
         b = self.band(n)
@@ -105,11 +114,11 @@ def index_keys(elements: np.ndarray, bands: Bands) -> np.ndarray:
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed[order])))
         value = sums[ends] - sums[ends - sizes]
         tag = mix(np.arange(m, dtype=np.uint64) + np.uint64(band << 40))
-        reserve = np.flatnonzero(sizes[: 1 + m // 48] >= 2)
-        filled = sizes > 0
-        if m - np.count_nonzero(filled) > len(reserve):
-            filled[:] = True
-        out.append((value * MIX1 ^ tag)[filled])
+        reserve = np.flatnonzero(sizes[: bands.reserve(band)] >= 3)
+        # leave out what the reserve can stand for: all segments of one element or none, or the empty ones, or nothing;
+        # of two sets the one that leaves out more finds the other, which indexes all that it needs
+        least = next(x for x in (2, 1, 0) if np.count_nonzero(sizes < x) <= len(reserve))
+        out.append((value * MIX1 ^ tag)[sizes >= least])
         for i in reserve.tolist():
             out.append((value[i] - mixed[order[ends[i] - sizes[i] : ends[i]]]) * MIX1 ^ tag[i])
     return np.unique(mix(np.concatenate(out))) if out else np.zeros(0, np.uint64)
