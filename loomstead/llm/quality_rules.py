@@ -98,9 +98,10 @@ def decide(rated: DataFrame, weights, threshold: float = THRESHOLD) -> DataFrame
 
 
 def keep_good(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that the rules keep, all columns as they were: votes are counted in one pass, applied in the next."""
+    """The documents that the rules keep, all columns as they were. Rows and votes are written once: a filter on the
+    verdict would otherwise be pushed into the statistics and repeat their expressions many times over."""
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text}`").alias("_text"))
-    rated = with_text_stats(held, "_text", ["_row"]).withColumn("votes", F.expr(VOTES))
+    rated = cut(with_text_stats(held, "_text", ["_row"]).withColumn("votes", F.expr(VOTES)))
     weights = fit(rated.select("votes"), rounds)
     return decide(rated, weights, threshold).where("kept").select("_row.*")
 
