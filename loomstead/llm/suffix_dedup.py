@@ -98,7 +98,7 @@ def _runs(docs: DataFrame, length: int, k: int) -> DataFrame:
 
 
 def _repeats(contexts: DataFrame, length: int) -> DataFrame:
-    """(key, ch, lo, hi) from distinct (key, ch, times, context): bytes of the context inside repeated strings."""
+    """(key, ch, lo, hi) from distinct (key, ch, times, context): the stretches of the context inside repeated strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -109,10 +109,9 @@ def _repeats(contexts: DataFrame, length: int) -> DataFrame:
                 return
             rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             data, offsets = bytes_of(rows.column(3))
-            first, last = Block(data, offsets).repeated(length, rows.column(2).to_numpy())
-            some = np.flatnonzero(first >= 0)
+            some, first, last = Block(data, offsets).repeated(length, rows.column(2).to_numpy())
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0).take(pa.array(some)), rows.column(1).take(pa.array(some)), pa.array(first[some].astype(np.int32)), pa.array((last[some] + length).astype(np.int32))],
+                [rows.column(0).take(pa.array(some)), rows.column(1).take(pa.array(some)), pa.array(first.astype(np.int32)), pa.array((last + length).astype(np.int32))],
                 names=["key", "ch", "lo", "hi"],
             )
 

@@ -110,23 +110,21 @@ class Block:
             live = live[differ == 0]
         return out
 
-    def repeated(self, length: int, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For every string the (first, last) offset at which a substring of `length` bytes starts that occurs twice
-        or more in the block, a string counting `times` over; (-1, -1) if there is none."""
-        n = len(self.starts)
-        first, last = np.full(n, -1), np.full(n, -1)
+    def repeated(self, length: int, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(string, first, last) of every stretch of offsets at which a substring of `length` bytes starts that occurs
+        twice or more in the block, a string counting `times` over. Substrings of one stretch overlap or touch; bytes
+        between two stretches are in no repeated substring."""
         order = self.suffix_array(length)
         order = order[self.rest[order] >= length]
         if not len(order):
-            return first, last
+            return order, order, order
         owner = np.searchsorted(self.starts, order, side="right") - 1
         opens = np.flatnonzero(self.common_prefixes(order, length) < length)
         total = np.add.reduceat(times[owner], opens)
         found = np.sort(order[np.repeat(total >= 2, np.diff(np.append(opens, len(order))))])
         if not len(found):
-            return first, last
+            return found, found, found
         owner = np.searchsorted(self.starts, found, side="right") - 1
-        who, at = np.unique(owner, return_index=True)
-        first[who] = found[at] - self.starts[who]
-        last[who] = found[np.append(at[1:], len(found)) - 1] - self.starts[who]
-        return first, last
+        opens = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (found[1:] - found[:-1] > length))))
+        who = owner[opens]
+        return who, found[opens] - self.starts[who], found[np.append(opens[1:], len(found)) - 1] - self.starts[who]

@@ -163,6 +163,22 @@ def test_suffix_dedup_by_brute_force(docs, hot):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(body), len(body) - len(kept), spans, hashlib.sha256(kept).hexdigest())
 
 
+def test_suffix_dedup_keeps_what_is_unique_between_repeats(spark):
+    # the smallest hash lies in the fixed part of every line, so the first text is one context: its ends repeat, its middle does not
+    fixed = hashlib.sha512(b"6").hexdigest()[:100]
+    line = lambda i: f"{fixed}{i:08d}\n"
+    head, middle, tail = ("".join(line(i) for i in ids) for ids in (range(4), range(100, 112), range(200, 204)))
+    rows = list(enumerate([head + middle + tail, head, tail, middle.replace("1", "7")]))
+    whole = np.frombuffer(rows[0][1].encode(), np.uint8)
+    assert len(suffix_dedup.minimizer_runs(whole, np.array([0, len(whole)]))[0]) == 1
+    seen = Counter(t[i : i + 200] for _, t in rows for i in range(len(t) - 199))
+    for r in suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        text = rows[r.doc_id][1]
+        gone = {i + j for i in range(len(text) - 199) if seen[text[i : i + 200]] > 1 for j in range(200)}
+        assert r.kept_text == "".join(c for i, c in enumerate(text) if i not in gone)
+        assert r.n_removed == len(gone) and (r.doc_id > 0 or r.n_spans == 2)
+
+
 def test_suffix_array_order():
     rng = random.Random(2)
     for _ in range(60):
