@@ -210,6 +210,13 @@ def test_page_template_text_goes(spark):
         assert r.text == "\n".join([f"Title {i}", *(f"Paragraph {i} {j}" for j in range(i + 2))])
 
 
+def test_page_nesting_beyond_the_limit():
+    deep = "<div>" * 70 + "deep<nav>menu<div>more menu</div></nav>text" + "</div>" * 70
+    page = f"<body><div class=wrap><article><p>first</p>{deep}<p>last</p></article></div><p>outside</p></body>"
+    assert page_wrappers.extract(page, set(), "") == "first\ndeep\ntext\nlast"
+    assert page_wrappers.extract("<div>" * 70 + "a<p>b<p>c<div>d</div>e", set(), "") == "a\nb\nc\nd\ne"
+
+
 def test_pages_of_the_tables_match_their_markup(spark):
     import html
 
