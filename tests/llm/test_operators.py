@@ -210,6 +210,14 @@ def test_page_template_text_goes(spark):
         assert r.text == "\n".join([f"Title {i}", *(f"Paragraph {i} {j}" for j in range(i + 2))])
 
 
+def test_long_template_text_goes(spark):
+    notice = " ".join(f"legal{i}" for i in range(400))
+    story = lambda i: " ".join(f"story{i}x{j}" for j in range(90))
+    rows = [(i, f"http://l.example.org/{i}", f"<body><div class=wrap><div class=legal>{notice}</div><div class=story><p>{story(i)}</p></div></div></body>") for i in range(4)]
+    out = page_wrappers.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert {r.page_id: r.text for r in out} == {i: story(i) for i in range(4)}
+
+
 def test_page_nesting_beyond_the_limit():
     deep = "<div>" * 70 + "deep<nav>menu<div>more menu</div></nav>text" + "</div>" * 70
     page = f"<body><div class=wrap><article><p>first</p>{deep}<p>last</p></article></div><p>outside</p></body>"
