@@ -218,6 +218,18 @@ def test_long_template_text_goes(spark):
     assert {r.page_id: r.text for r in out} == {i: story(i) for i in range(4)}
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    copy = lambda i: f"<body><script>{i}</script><article><h1>Head</h1><p>Only paragraph</p></article></body>"
+    near = lambda i: f"<body><article><h1>Head</h1><p>Only paragraph</p><p>seen {i}</p></article></body>"
+    plain = lambda i: f"<body><!--{i}--><div><h1>Head</h1><p>Only paragraph</p></div></body>"
+    quote = lambda i: f"<body><div><h2>Title {i}</h2>{'<blockquote>Quoted</blockquote>' if not i else ''}<p>Paragraph {i}</p></div></body>"
+    pages = [*(("copy", copy(i)) for i in range(4)), *(("near", near(i)) for i in range(4)), *(("plain", plain(i)) for i in range(4)), *(("quote", quote(i)) for i in (0, 0, 0, 1, 2, 3))]
+    rows = [(i, f"http://{host}.example.org/{i}", page) for i, (host, page) in enumerate(pages)]
+    out = {r.page_id: r.text for r in page_wrappers.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    body = "Head\nOnly paragraph"
+    assert [out[i] for i in range(18)] == [body] * 4 + [f"{body}\nseen {i}" for i in range(4)] + [body] * 4 + ["Title 0\nQuoted\nParagraph 0"] * 3 + [f"Title {i}\nParagraph {i}" for i in (1, 2, 3)]
+
+
 def test_page_nesting_beyond_the_limit():
     deep = "<div>" * 70 + "deep<nav>menu<div>more menu</div></nav>text" + "</div>" * 70
     page = f"<body><div class=wrap><article><p>first</p>{deep}<p>last</p></article></div><p>outside</p></body>"
