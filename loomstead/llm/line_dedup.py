@@ -3,8 +3,9 @@ the aligned common blocks.
 
 Lines travel as 64-bit hashes with their lengths, so alignment moves a few bytes a line and no text. A
 line that up to RARE documents hold pairs all of them; a line that more documents hold pairs each with its
-first holder only, which is enough to find it in an earlier document and keeps the pairs linear in the
-lines. A pair is aligned in rounds: patience diff on what is not aligned yet, until nothing more aligns, so
+first holder only. Runs of lines that just reach MIN_CHARS pair documents in the same way, so that a block of
+frequent lines meets an earlier document that holds it whole, whoever holds its lines first. Runs that are
+shortest from a line on and shortest up to a line cover every block, and pairs stay linear in the lines. A pair is aligned in rounds: patience diff on what is not aligned yet, until nothing more aligns, so
 blocks that moved are found too. Blocks of MIN_CHARS characters or more go from the document with the larger
 key; shorter ones stay. What a document loses is judged on the input, so the first holder keeps its lines.
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, prefix_sums, span_hashes
 from .text_stats import SPACES
 
 #: Documents that may hold a rare line; characters that a block needs to be deleted.
@@ -121,9 +122,40 @@ def common_blocks(a: list[int], b: list[int], sizes: list[int], least: int) -> l
     return sorted(drop)
 
 
-def _pairs(sequences: DataFrame, rare: int) -> DataFrame:
+def run_keys(lines: np.ndarray, sizes: np.ndarray, solid: np.ndarray, least: int) -> np.ndarray:
+    """Hashes of a document's runs of two lines or more that are the shortest with `least` characters from their first
+    line on or up to their last; runs of blank lines only are left out."""
+    n = len(lines)
+    chars, full = np.concatenate(([0], np.cumsum(sizes))), np.concatenate(([0], np.cumsum(solid)))
+    at = np.arange(n)
+    ends = np.searchsorted(chars, chars[:-1] + least, side="left")  # the smallest end with so many characters
+    begins = np.searchsorted(chars, chars[1:] - least, side="right") - 1  # the largest begin
+    start, end = np.concatenate((at[ends <= n], begins[begins >= 0])), np.concatenate((ends[ends <= n], at[begins >= 0] + 1))
+    keep = (end - start >= 2) & (full[end] > full[start])
+    return np.unique(span_hashes(prefix_sums(lines.view(np.uint64)), start[keep], end[keep])).view(np.int64)
+
+
+def _keys(sequences: DataFrame, least: int) -> DataFrame:
+    """(rid, h): hashes of each document's lines that are not blank, and of its runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lines, sizes, solid = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+            bounds = np.concatenate(([0], np.cumsum([len(x) for x in batch.column(1)])))
+            found = []
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                found.append(np.concatenate((np.unique(lines[a:b][solid[a:b]]), run_keys(lines[a:b], sizes[a:b], solid[a:b], least))))
+            at = np.repeat(np.arange(batch.num_rows), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.concatenate(found), pa.int64())], names=["rid", "h"])
+
+    return sequences.select("rid", "lines", "sizes", "solid").mapInArrow(run, "rid struct<id: bigint, th: bigint>, h bigint")
+
+
+def _pairs(sequences: DataFrame, rare: int, least: int) -> DataFrame:
     """(late, early): documents to align."""
-    lines = sequences.select("rid", F.explode(F.array_distinct(F.expr("filter(transform(lines, (h, i) -> if(solid[i], h, null)), h -> h is not null)"))).alias("h"))
+    lines = _keys(sequences, least)
     held = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("early")).where("n > 1")
     known = cut(lines.join(held, "h"))
     often = known.where(f"n > {rare}").select(F.col("rid").alias("late"), "early").where("late <> early")
@@ -145,7 +177,7 @@ def removed_lines(sequences: DataFrame, rare: int = RARE, least: int = MIN_CHARS
                 at += [i] * len(drop)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.array(at, np.int64))), pa.array(found, pa.int32())], names=["rid", "gone"])
 
-    pairs = _pairs(sequences, rare)
+    pairs = _pairs(sequences, rare, least)
     late = sequences.select(F.col("rid").alias("late"), F.col("lines").alias("late_lines"), "sizes")
     early = sequences.select(F.col("rid").alias("early"), F.col("lines").alias("early_lines"))
     aligned = pairs.join(late, "late").join(early, "early").select("late", "late_lines", "early_lines", "sizes")

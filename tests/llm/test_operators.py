@@ -106,6 +106,29 @@ def test_line_dedup_by_brute_force(docs):
         assert r._n_removed == len(gone)
 
 
+def test_line_dedup_finds_blocks_of_frequent_lines(spark):
+    # each line is frequent and has a first holder of its own; the block of three is 72 characters, its lines are shorter than the bound
+    block = [f"menu line {c} " + c * 12 for c in "abc"]
+    texts = [f"own {i}\n{block[i % 3]}\ntail {i}" for i in range(18)] + [f"own {i}\n" + "\n".join(block) + f"\ntail {i}" for i in range(20, 28)]
+    assert sum(map(len, block)) >= line_dedup.MIN_CHARS > sum(map(len, block[:2]))
+    out = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert [out[i].text for i in range(19)] == texts[:19]
+    assert [out[i].text for i in range(19, 26)] == [f"own {i + 2}\ntail {i + 2}" for i in range(19, 26)]
+
+
+def test_runs_cover_every_block():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n = int(rng.integers(1, 30))
+        lines, sizes = rng.integers(-(1 << 60), 1 << 60, n), rng.integers(0, 40, n)
+        solid = sizes > 0
+        whole = set(line_dedup.run_keys(lines, sizes, solid, 60).tolist())
+        a, b = sorted(rng.integers(0, n + 1, 2).tolist())
+        part = line_dedup.run_keys(lines[a:b], sizes[a:b], solid[a:b], 60)
+        assert whole >= set(part.tolist())
+        assert (sizes[a:b].sum() >= 60) == bool(len(part))
+
+
 def test_patience_finds_moved_blocks():
     a, b = list("xABCyDEF"), list("DEFzABC")
     assert line_dedup.common_blocks(a, b, [10] * 8, 30) == [1, 2, 3, 5, 6, 7]
