@@ -127,7 +127,7 @@ def resample_counts(users: DataFrame, user: str, replicates: int, seed: int) ->
     return draws.join(numbered, "_i").groupBy("replicate", user).agg(F.count(F.lit(1)).alias("times"))
 
 
-def bootstrap_eer(scores: DataFrame, user: str, replicates: int = 200, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+def bootstrap_eer(scores: DataFrame, user: str, replicates: int = 1000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """One row: EER over all scores and its interval over replicates that resample users. Repeats become weights, so a
     replicate costs one row a user and distinct score, not a copy of the rows."""
     per = scores.groupBy(user, "score", "label").agg(F.count(F.lit(1)).alias("_c"))
@@ -138,6 +138,30 @@ def bootstrap_eer(scores: DataFrame, user: str, replicates: int = 200, seed: int
     return point.join(F.broadcast(interval)).select("point", F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"), "n_replicates")
 
 
+def bootstrap_mean(values: DataFrame, user: str, value: str, replicates: int = 1000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+    """One row: mean of the users' values and its interval over replicates that resample users; values that are null or
+    not finite drop out."""
+    x = F.col(value)
+    known = values.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))).select(user, x.alias("_x"))
+    means = known.join(resample_counts(known, user, replicates, seed), user).groupBy("replicate").agg((F.sum(F.col("_x") * F.col("times")) / F.sum("times")).alias("_m"))
+    interval = means.agg(F.expr(f"percentile(_m, array({alpha / 2}D, {1 - alpha / 2}D))").alias("_q"), F.count(F.lit(1)).alias("n_replicates"))
+    return known.agg(F.avg("_x").alias("mean")).join(F.broadcast(interval)).select("mean", F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"), "n_replicates")
+
+
+def roc_points(curve: DataFrame, most: int = 512) -> DataFrame:
+    """(point, fpr, tpr): the curve's vertices from (0, 0) on without those on a straight step, at most `most` of them at
+    evenly spaced, rounded places. A curve of one class or one score has none."""
+    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("score"))
+    bend = lambda c: F.lead(c).over(w) - 2 * F.col(c) + F.lag(c).over(w)
+    turns = curve.where("pos > 0 AND neg > 0").withColumn("_turns", F.coalesce((bend("tp") != 0) | (bend("fp") != 0), F.lit(True))).where("_turns")
+    vertices = turns.withColumn("_k", F.row_number().over(w)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+    vertices = vertices.where("_n > 1").select("_k", "_n", "fpr", (1 - F.col("fnr")).alias("tpr"))
+    vertices = vertices.union(vertices.where("_k = 1").select(F.lit(0).alias("_k"), "_n", F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")))
+    step = F.col("_n") / (most - 1)  # with the origin there are _n + 1 vertices, and the last is at _n
+    point = F.rint(F.col("_k") / step)
+    return vertices.where((F.col("_n") < most) | (F.rint(point * step) == F.col("_k"))).select(F.when(F.col("_n") < most, F.col("_k")).otherwise(point).cast("bigint").alias("point"), "fpr", "tpr")
+
+
 def holm(df: DataFrame, p: str, keys: list[str] | None = None) -> DataFrame:
     """Adds p_adjusted: step-down, monotone, 1 at most. A family of tests is small; its window is one key's."""
     by = keys or [F.lit(0)]

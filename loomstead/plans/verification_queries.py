@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import stable_bucket
 from ..operators import verification as V
-from .catalog import register
+from .catalog import QUERIES, register
 from .feature_queries import r, rounded
 from .stream_queries import EV, SESS, sessions, stream
 
@@ -52,7 +52,7 @@ def prototypes_cosine(spark, sf_dir):
     return scored(spark, sf_dir).select("vec_id", "owner", "attacked", "score", "label")
 
 
-@register("roc_curve", "M1 M12", f"WITH {SCORES}, {roc_sql('sc')} SELECT score, tp::BIGINT AS tp, fp::BIGINT AS fp, {r('fpr')} AS fpr, {r('fnr')} AS fnr FROM roc")
+@register("roc_curve", "M1", f"WITH {SCORES}, {roc_sql('sc')} SELECT score, tp::BIGINT AS tp, fp::BIGINT AS fp, {r('fpr')} AS fpr, {r('fnr')} AS fnr FROM roc")
 def roc_curve(spark, sf_dir):
     return rounded(V.roc(scored(spark, sf_dir), "score", "label").select("score", "tp", "fp", "fpr", "fnr"), "fpr", "fnr")
 
@@ -135,7 +135,7 @@ def policy_selection(spark, sf_dir):
     return best.select("b.*")
 
 
-@register("bootstrap_ci", "R1 R2 R4", f"""WITH {SCORES}, us AS (SELECT attacked, row_number() OVER (ORDER BY attacked) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT attacked FROM sc)),
+@register("bootstrap_ci", "R1", f"""WITH {SCORES}, us AS (SELECT attacked, row_number() OVER (ORDER BY attacked) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT attacked FROM sc)),
 dr AS (SELECT id % 200 AS replicate, ('0x' || substr(sha256('0:' || id), 1, 12))::BIGINT % (SELECT any_value(n) FROM us) AS i FROM range(200 * (SELECT any_value(n) FROM us)) t(id)),
 tm AS (SELECT replicate, attacked, count(*) AS times FROM dr JOIN us USING (i) GROUP BY ALL), jw AS (SELECT replicate, score, label, times FROM sc JOIN tm USING (attacked)),
 {roc_sql('jw', 'replicate', 'times', 'rb')}, {eer_sql('replicate', 'rb', 'eb')}, {roc_sql('sc')}, {eer_sql()}
@@ -145,13 +145,35 @@ def bootstrap_ci(spark, sf_dir):
     return rounded(out, "point", "low", "high")
 
 
+@register("bootstrap_ci_1000", "R1 R2", QUERIES["bootstrap_ci"].sql.replace("200", "1000"))
+def bootstrap_ci_1000(spark, sf_dir):
+    return rounded(V.bootstrap_eer(scored(spark, sf_dir), "attacked", 1000, 0), "point", "low", "high")
+
+
+@register("by_user_ci", "R4", f"""WITH {SCORES}, {roc_sql('sc', 'attacked')}, {eer_sql('attacked')}, us AS (SELECT eer, row_number() OVER (ORDER BY attacked) - 1 AS i, count(*) OVER () AS n FROM ee WHERE isfinite(eer)),
+dr AS (SELECT id % 1000 AS replicate, ('0x' || substr(sha256('0:' || id), 1, 12))::BIGINT % (SELECT any_value(n) FROM us) AS i FROM range(1000 * (SELECT any_value(n) FROM us)) t(id)),
+ms AS (SELECT replicate, avg(eer) AS m FROM dr JOIN us USING (i) GROUP BY replicate)
+SELECT (SELECT {r('avg(eer)')} FROM us) AS mean, {r('quantile_cont(m, 0.025)')} AS low, {r('quantile_cont(m, 0.975)')} AS high, count(*) AS n_replicates FROM ms""")
+def by_user_ci(spark, sf_dir):
+    per = V.eer(V.roc(scored(spark, sf_dir), "score", "label", ["attacked"]), ["attacked"])
+    return rounded(V.bootstrap_mean(per, "attacked", "eer", 1000, 0), "mean", "low", "high")
+
+
+@register("roc_points", "M12", f"""WITH {SCORES}, {roc_sql('sc')}, b AS (SELECT *, lead(tp) OVER w - 2 * tp + lag(tp) OVER w AS bt, lead(fp) OVER w - 2 * fp + lag(fp) OVER w AS bf FROM roc WHERE pos > 0 AND neg > 0 WINDOW w AS (ORDER BY score DESC)),
+k AS (SELECT fpr, 1 - fnr AS tpr, row_number() OVER (ORDER BY score DESC) AS k, count(*) OVER () AS n FROM b WHERE coalesce(bt <> 0 OR bf <> 0, true)),
+vx AS (SELECT k, n, fpr, tpr FROM k WHERE n > 1 UNION ALL SELECT 0, n, 0, 0 FROM k WHERE k = 1 AND n > 1)
+SELECT p AS point, {r('fpr')} AS fpr, {r('tpr')} AS tpr FROM (SELECT *, CASE WHEN n < 512 THEN k ELSE round_even(k / (n / 511), 0) END::BIGINT AS p FROM vx) WHERE n < 512 OR round_even(p * (n / 511), 0) = k""")
+def roc_points(spark, sf_dir):
+    return rounded(V.roc_points(V.roc(scored(spark, sf_dir), "score", "label")), "fpr", "tpr")
+
+
 @register("holm_adjust", "R5", "WITH p AS (SELECT p_brand, avg(p_size) / 5000.0 AS p FROM part GROUP BY p_brand), k AS (SELECT *, row_number() OVER (ORDER BY p, p_brand) AS r, count(*) OVER () AS m FROM p) SELECT p_brand, round(p, 8) AS p, round(max(least(1.0, (m - r + 1) * p)) OVER (ORDER BY p, p_brand ROWS UNBOUNDED PRECEDING), 6) AS p_adjusted FROM k")
 def holm_adjust(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy("p_brand").agg((F.avg("p_size") / 5000.0).alias("p"))
     return V.holm(p, "p").select("p_brand", F.round("p", 8).alias("p"), F.round("p_adjusted", 6).alias("p_adjusted"))
 
 
-@register("paired_delta", "R3 R7 R8 R9", """WITH y AS (SELECT o_custkey, avg(o_totalprice) FILTER (year(o_orderdate) % 2 = 0) AS a, avg(o_totalprice) FILTER (year(o_orderdate) % 2 = 1) AS b FROM orders GROUP BY o_custkey), d AS (SELECT b - a AS d FROM y WHERE a IS NOT NULL AND b IS NOT NULL)
+@register("paired_delta", "R7", """WITH y AS (SELECT o_custkey, avg(o_totalprice) FILTER (year(o_orderdate) % 2 = 0) AS a, avg(o_totalprice) FILTER (year(o_orderdate) % 2 = 1) AS b FROM orders GROUP BY o_custkey), d AS (SELECT b - a AS d FROM y WHERE a IS NOT NULL AND b IS NOT NULL)
 SELECT count(*) AS n, round(avg(d), 4) AS mean_delta, round(avg(d) / stddev_samp(d), 6) AS cohens_d, round(avg((d > 0)::INT), 6) AS win_rate FROM d""")
 def paired_delta(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
@@ -183,7 +205,7 @@ def router_utilisation(spark, sf_dir):
     return u.groupBy("label", F.col("expert").cast("bigint").alias("expert")).agg(F.round(F.avg("g"), 6).alias("mean_gate"), F.round(F.avg((F.col("g") > 0).cast("int")), 6).alias("active"))
 
 
-@register("routers", "N5 N6 N7 N8", f"WITH {GATE} SELECT vec_id, array_to_string(list_transform(range(0, 7), lambda i: CASE WHEN i = vec_id % 7 THEN 10 ELSE 0 END), ',') AS hashed, round(list_sum(list_transform(gate, lambda p: ln(greatest(p, 1e-8)))), 5) AS fixed_sum FROM gt")
+@register("routers", "N5 N7", f"WITH {GATE} SELECT vec_id, array_to_string(list_transform(range(0, 7), lambda i: CASE WHEN i = vec_id % 7 THEN 10 ELSE 0 END), ',') AS hashed, round(list_sum(list_transform(gate, lambda p: ln(greatest(p, 1e-8)))), 5) AS fixed_sum FROM gt")
 def routers(spark, sf_dir):
     g = gates(spark, sf_dir)
     hashed = F.array_join(F.transform(V.hash_router(F.col("vec_id"), 7), lambda x: x.cast("int").cast("string")), ",")

@@ -139,3 +139,23 @@ def test_streaming_ingest(spark, tmp_path):
     assert len(stored) == 1 and str(stored[0].day) == "2024-03-09" and json.loads(stored[0].plain)["x"] == 1
     reasons = sorted(r.reason for r in spark.read.parquet(str(tmp_path / "out" / "errors")).collect())
     assert reasons == ["duplicate_batch_id_conflict"] * 2 + ["envelope_batch_device_id_mismatch"] * 2
+
+
+def test_roc_points_are_those_of_a_rounded_linspace(spark):
+    rng = np.random.default_rng(5)
+    rows = [(float(x), int(y)) for x, y in zip(rng.permutation(400) / 400, rng.integers(0, 2, 400))]
+    tp, fp = (np.cumsum([y == c for _, y in sorted(rows, reverse=True)]) for c in (1, 0))
+    turns = np.concatenate(([True], (np.diff(tp, 2) != 0) | (np.diff(fp, 2) != 0), [True]))
+    tpr, fpr = (np.concatenate(([0], x[turns] / x[-1])) for x in (tp, fp))
+    curve = V.roc(spark.createDataFrame(rows, "score double, label int"), "score", "label")
+    for most in (16, 512):
+        at = np.linspace(0, len(fpr) - 1, most).round().astype(int) if len(fpr) > most else np.arange(len(fpr))
+        out = V.roc_points(curve, most).orderBy("point").collect()
+        assert np.allclose([(p.point, p.fpr, p.tpr) for p in out], list(zip(range(len(at)), fpr[at], tpr[at])))
+
+
+def test_survey_rows_left_out_are_not_claimed():
+    from loomstead.plans.catalog import QUERIES
+
+    claimed = {x for q in QUERIES.values() for x in q.ops.split()}
+    assert not claimed & {"R3", "R8", "R9", "N6", "N8"} and {"R1", "R2", "R4", "R7", "M12"} <= claimed
