@@ -4,7 +4,7 @@ Every rule says good, bad or nothing about a document. The votes of all document
 (three to the power of the rules at most, whatever the corpus size); expectation-maximisation over that
 table estimates the class prior and each rule's accuracy within either class, and the posterior probability
 of good quality takes the place of a filter that all rules must pass. All of it is DataFrame work: per
-round, one aggregate over the pattern table gives the next parameters (a few dozen numbers).
+round, one aggregate over the pattern table by rule and vote gives the next parameters (a few dozen numbers).
 
 Defined results: a null or blank text has no words and fails the base; repeated rows get one result each;
 ties at the threshold count as kept; an empty table gives an empty one; a column of the input that bears
@@ -14,6 +14,7 @@ the name of a statistic gives way to it; a null key stays.
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,16 +44,16 @@ FIRST = "CASE length(votes) - length(replace(votes, 'B', '')) WHEN 0 THEN 0.95D
 
 
 def _step(patterns: DataFrame, q: Column) -> dict[str, float]:
-    """M step: prior and accuracies from the pattern counts and posteriors."""
-    good, bad = F.col("n") * q, F.col("n") * (1 - q)
-    aggs = [F.sum(good).alias("good"), F.sum(bad).alias("bad")]
-    for j in range(len(RULES)):
-        vote = F.substring("votes", j + 1, 1)
-        for y, w in (("good", good), ("bad", bad)):
-            for v in "GB":
-                aggs.append(F.sum(F.when(vote == v, w).otherwise(0.0)).alias(f"{y}{v}{j}"))
-    row = patterns.agg(*aggs).first().asDict()
-    return {k: v or 0.0 for k, v in row.items()}
+    """M step: prior and accuracies from the pattern counts and posteriors, one row for each rule and vote."""
+    each = patterns.select("n", (F.col("n") * q).alias("good"), F.posexplode("each").alias("j", "vote"))
+    rows = each.groupBy("j", "vote").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).collect()
+    counts: dict[str, float] = defaultdict(float)
+    for r in rows:
+        counts[f"good{r.vote}{r.j}"], counts[f"bad{r.vote}{r.j}"] = r.good, r.n - r.good
+        if r.j == 0:
+            counts["good"] += r.good
+            counts["bad"] += r.n - r.good
+    return counts
 
 
 def _weights(c: dict[str, float]) -> tuple[float, list[tuple[float, float]]]:
@@ -77,7 +78,8 @@ def _posterior(weights: tuple[float, list[tuple[float, float]]]) -> Column:
 
 def fit(votes: DataFrame, rounds: int = ROUNDS) -> tuple[float, list[tuple[float, float]]]:
     """Rule weights from a frame with the column `votes`: all its rows count, by pattern."""
-    patterns = cut(votes.groupBy("votes").agg(F.count(F.lit(1)).alias("n")))
+    counted = votes.groupBy("votes").agg(F.count(F.lit(1)).alias("n"))
+    patterns = cut(counted.select("votes", "n", F.array(*[F.substring("votes", j + 1, 1) for j in range(len(RULES))]).alias("each")))
     q = F.expr(FIRST)
     for _ in range(rounds):
         weights = _weights(_step(patterns, q))
