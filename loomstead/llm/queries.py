@@ -26,7 +26,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixture.mixture(table(spark, sf_dir, "documents"))
+    out = mixture.mixture(table(spark, sf_dir, "documents"), carry=False)
     return out.select(F.col("id").alias("doc_id"), "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("p", 6).alias("p"), "kept")
 
 

@@ -152,22 +152,51 @@ def test_secret_scan_keeps_numbers_and_links_out(spark):
     assert {r.doc_id for r in out} == {1, 2, 3}
 
 
-def test_mixture_meets_targets(spark):
-    # the driver's table: on the small fixture a source that alone holds the long texts cannot meet both margins
-    cells = mixture.fit(mixture.measured(spark.read.parquet(f"{DATA}/documents.parquet"))).toPandas()
-    cells["w"] = cells.tokens * cells.weight
-    total = cells.tokens.sum()
-    base = cells.groupby("topic").tokens.sum() ** mixture.POWERS["topic"]
-    assert np.allclose(cells.groupby("topic").w.sum(), base / base.sum() * total, rtol=1e-6)
-    base = cells.groupby("source").tokens.sum() ** mixture.POWERS["source"]
-    assert np.allclose(cells.groupby("source").w.sum(), base / base.sum() * total, rtol=0.05)
-    assert abs((cells.tokens * cells.p).sum() - mixture.BUDGET * total) < 0.05 * total
-
-
-def test_mixture_given_targets(docs):
-    cells = mixture.fit(mixture.measured(docs), targets={"topic": {"long": 0.9}}).toPandas()
-    cells["w"] = cells.tokens * cells.weight
-    assert abs(cells[cells.topic == "long"].w.sum() / cells.w.sum() - 0.9) < 1e-6
+def filled_targets(have: dict, power: float, budget: float) -> dict:
+    """Tokens that each category should give: shares to a power, no category more than it has."""
+    total, spent = budget * sum(have.values()), set()
+    while True:
+        left = {c: v**power for c, v in have.items() if c not in spent}
+        rate = (total - sum(have[c] for c in spent)) / sum(left.values())
+        more = {c for c in left if left[c] * rate >= have[c]}
+        if not more:
+            return {c: have[c] if c in spent else left[c] * rate for c in have}
+        spent |= more
+
+
+@pytest.mark.parametrize("budget", [0.3, 0.5])
+def test_mixture_meets_targets(spark, budget):
+    rows = mixture.measured(spark.read.parquet(f"{DATA}/documents.parquet"), carry=False)
+    cells = mixture.fit(rows, budget).toPandas()
+    drawn = cells.tokens * cells.p
+    assert cells.p.between(0, 1).all() and abs(drawn.sum() - budget * cells.tokens.sum()) < 1e-6 * drawn.sum()
+    assert cells.margin_error.max() <= mixture.TOLERANCE
+    for m, power in mixture.POWERS.items():
+        wanted = filled_targets(cells.groupby(m).tokens.sum().to_dict(), power, budget)
+        for category, got in drawn.groupby(cells[m]).sum().items():
+            assert got == pytest.approx(wanted[category], rel=1e-6)
+
+
+def test_mixture_given_targets(spark):
+    rows = mixture.measured(spark.read.parquet(f"{DATA}/documents.parquet"), carry=False)
+    cells = mixture.fit(rows, 0.05, {"topic": {"long": 0.9}}).toPandas()
+    drawn = cells.tokens * cells.p
+    assert drawn[cells.topic == "long"].sum() / drawn.sum() == pytest.approx(0.9, rel=1e-6)
+    dealt = mixture.fit(rows, 0.05, {"topic": {"long": 0.9}}, cells_in_one=0).toPandas()
+    keys = ["source", "lang", "topic"]
+    assert np.allclose(cells.sort_values(keys).p, dealt.sort_values(keys).p)
+
+
+def test_mixture_tells_of_targets_that_cannot_be_met(spark):
+    # source a holds all of topic x: half of the tokens from a and a tenth from x cannot be
+    rows = spark.createDataFrame([("a", "en", "x", 100), ("b", "en", "y", 100)], "source string, lang string, topic string, n_tokens bigint")
+    cells = mixture.fit(rows, 0.5, {"source": {"a": 0.5, "b": 0.5}, "topic": {"x": 0.1, "y": 0.9}}).toPandas()
+    assert cells.margin_error.max() > 0.1
+
+
+def test_mixture_takes_a_topic_column(docs):
+    out = mixture.mixture(docs.withColumn("about", F.expr("CASE WHEN doc_id > 4 THEN doc_id % 2 END")), topic="about")
+    assert {r.topic for r in out.select("topic").distinct().collect()} == {"0", "1", "(none)"}
 
 
 @pytest.mark.parametrize("hot", [4096, 1])
