@@ -7,9 +7,10 @@ strings), equal contexts are counted as one, and contexts of a minimizer meet in
 in order by two-stage suffix sorting (`suffix_sort`), and the common prefixes of neighbours tell which
 strings occur twice, in another context or in the same. Spans go back to the documents by context.
 
-Minimizers that more than HOT positions hold (frequent passages) would make their block grow with the
-corpus. There every string is a context of its own, keyed by its own hash, so that equal strings are
-counted before they move and unequal ones part.
+Minimizers with more than HOT distinct contexts (where a frequent passage begins or ends) would make their block
+grow with the corpus. Their contexts, each once however often it occurs, are cut into strings keyed by their own
+128-bit hash, so that equal strings are counted before they move and unequal ones part; the strings are sorted in
+blocks like contexts, and those that repeat are put together to stretches of their contexts again.
 
 Defined results: a null text counts as empty and loses nothing; repeated rows are documents of their own,
 so they repeat each other; overlapping strings count, and all strings are judged on the input; an empty
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bytes_of, cut, offsets_of, prefix_sums, slices, span_hashes
@@ -32,7 +33,7 @@ from .suffix_sort import Block
 #: Bytes of a string that must not repeat, bytes of the hashes whose smallest is a string's minimizer.
 LENGTH, K = 200, 84
 
-#: Positions of a minimizer beyond which its strings are sorted one by one, bytes of a sorted block.
+#: Distinct contexts of a minimizer beyond which its strings are sorted one by one, bytes of a sorted block.
 HOT, BLOCK = 4096, 1 << 20
 
 #: Bits of a position inside a numpy pass; its hashes keep the rest.
@@ -138,6 +139,24 @@ def _repeats(contexts: DataFrame, length: int) -> DataFrame:
     return near.select("key", "ch", "times", "context").mapInArrow(run, "key bigint, ch bigint, lo int, hi int")
 
 
+def _hot_repeats(many: DataFrame, few: DataFrame, length: int, hot: int) -> DataFrame:
+    """(key, ch, lo, hi) of all contexts: `few` are those of minimizers with up to `hot` places, `many` the others."""
+    many = cut(many)
+    contexts = many.groupBy("key").agg(F.count(F.lit(1)).alias("contexts")).where(f"contexts > {hot}").select("key")
+    plain = _repeats(few.union(many.join(contexts, "key", "left_anti")), length)
+    each = many.join(contexts, "key", "left_semi").select("*", F.explode(F.expr(f"sequence(0, length(context) - {length})")).alias("at"))
+    each = each.select("key", "ch", "times", "at", F.expr(f"substring(context, at + 1, {length})").alias("string"))
+    each = each.select("*", F.xxhash64("string").alias("h"), F.xxhash64(F.lit(length), "string").alias("g"))
+    strings = each.groupBy("h", "g").agg(F.sum("times").alias("times"), F.first("string").alias("context"))
+    twice = _repeats(strings.withColumnsRenamed({"h": "key", "g": "ch"}), length).select(F.col("key").alias("h"), F.col("ch").alias("g"))
+    starts = each.select("key", "ch", "at", "h", "g").join(twice, ["h", "g"], "left_semi")
+    order = Window.partitionBy("key", "ch").orderBy("at")
+    opens = F.coalesce(F.col("at") - F.lag("at").over(order) > length, F.lit(True)).cast("int")
+    stretches = starts.select("key", "ch", "at", opens.alias("opens")).withColumn("stretch", F.sum("opens").over(order))
+    merged = stretches.groupBy("key", "ch", "stretch").agg(F.min("at").alias("lo"), (F.max("at") + length).alias("hi"))
+    return plain.union(merged.select("key", "ch", F.col("lo").cast("int"), F.col("hi").cast("int")))
+
+
 def _finish(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Cut the spans out of every text."""
     schema = f"{key} bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string"
@@ -182,14 +201,11 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     runs = _runs(docs, length, k)
     often = runs.groupBy("key").agg(F.sum("times").alias("held")).where("held > 1")
     runs = cut(runs.drop("times").join(often, "key"))
-    body = F.col("text").cast("binary")
-    whole = runs.join(docs, ["id", "th"])
-    plain = whole.where(f"held <= {hot}").select("key", "id", "th", "start", F.substring(body, F.col("start") + 1, F.col("n") + (length - 1)).alias("context"))
-    each = whole.where(f"held > {hot}").select("id", "th", "text", F.explode(F.expr("sequence(start, start + n - 1)")).alias("start"))
-    each = each.select("id", "th", "start", F.substring(body, F.col("start") + 1, length).alias("context")).select(F.xxhash64("context").alias("key"), "id", "th", "start", "context")
-    placed = plain.union(each).withColumn("ch", F.xxhash64("context"))
-    distinct = placed.groupBy("key", "ch").agg(F.count(F.lit(1)).alias("times"), F.first("context").alias("context"))
-    spans = placed.select("key", "ch", "id", "th", "start").join(_repeats(distinct, length), ["key", "ch"])
+    context = F.substring(F.col("text").cast("binary"), F.col("start") + 1, F.col("n") + (length - 1))
+    placed = runs.join(docs, ["id", "th"]).select("key", "held", "id", "th", "start", context.alias("context")).withColumn("ch", F.xxhash64("context"))
+    counted = lambda rows: rows.groupBy("key", "ch").agg(F.count(F.lit(1)).alias("times"), F.first("context").alias("context"))
+    found = _hot_repeats(counted(placed.where(f"held > {hot}")), counted(placed.where(f"held <= {hot}")), length, hot)
+    spans = placed.select("key", "ch", "id", "th", "start").join(found, ["key", "ch"])
     packed = (F.shiftleft((F.col("start") + F.col("lo")).cast("bigint"), 32) + (F.col("start") + F.col("hi")).cast("bigint")).alias("span")
     spans = spans.select("id", "th", packed).groupBy("id", "th").agg(F.collect_set("span").alias("spans"))
     return _finish(docs.join(spans, ["id", "th"], "left"), key, text)
