@@ -110,7 +110,7 @@ def spectra(df: DataFrame, keys: list[str], order: list[str], x: str, rate: floa
 
 
 #: Class names to buckets: the first fragment found wins (fixed values).
-CLASS_BUCKETS = [("edit", "edit"), ("recycler", "list"), ("listview", "list"), ("gridview", "list"), ("switch", "switch"), ("checkbox", "switch"), ("radio", "switch"), ("webview", "webview"), ("scrollview", "webview"), ("surface", "surface"), ("texture", "surface"), ("button", "button"), ("text", "text")]
+CLASS_BUCKETS = [("edit", "edit"), ("recycler", "list"), ("listview", "list"), ("gridview", "list"), ("switch", "switch"), ("checkbox", "switch"), ("radio", "switch"), ("seekbar", "switch"), ("spinner", "switch"), ("webview", "webview"), ("scrollview", "webview"), ("surface", "surface"), ("texture", "surface"), ("button", "button"), ("text", "text")]
 
 
 def class_bucket(name: Column, table: list[tuple[str, str]] = CLASS_BUCKETS) -> Column:
@@ -122,8 +122,8 @@ def class_bucket(name: Column, table: list[tuple[str, str]] = CLASS_BUCKETS) ->
 
 
 def structural_hash(lines: Column) -> Column:
-    """First eight hex digits of the SHA-256 of an array of lines."""
-    return F.substring(F.sha2(F.array_join(lines, "\n"), 256), 1, 8)
+    """The first 32 bits of the SHA-256 of an array of lines, as a number."""
+    return F.conv(F.substring(F.sha2(F.array_join(lines, "\n"), 256), 1, 8), 16, 10).cast("bigint")
 
 
 #: Node bounds from this size on are sentinels, not coordinates (fixed value).
@@ -131,10 +131,29 @@ SENTINEL = 89_478_485
 
 
 def valid_bounds(nodes: Column) -> Column:
-    """Nodes (structs with bounds_grid) whose bounds are real: present, no sentinel, positive extent."""
-    b = lambda n: n["bounds_grid"]
-    fine = lambda v: v.isNotNull() & (F.abs(v) < SENTINEL)
-    return F.filter(nodes, lambda n: fine(b(n)["left"]) & fine(b(n)["top"]) & fine(b(n)["right"]) & fine(b(n)["bottom"]) & (b(n)["right"] > b(n)["left"]) & (b(n)["bottom"] > b(n)["top"]))
+    """The bounds (structs of left, top, right, bottom) of nodes that have real ones: no sentinel, positive extent. A
+    side that is missing counts as 0."""
+    sides = ["left", "top", "right", "bottom"]
+    filled = F.transform(F.filter(nodes, lambda n: n["bounds_grid"].isNotNull()), lambda n: F.struct(*[F.coalesce(n["bounds_grid"][s], F.lit(0)).alias(s) for s in sides], n["class_name"].alias("class_name")))
+    fine = lambda v: F.abs(v) < SENTINEL
+    return F.filter(filled, lambda b: fine(b["left"]) & fine(b["top"]) & fine(b["right"]) & fine(b["bottom"]) & (b["right"] > b["left"]) & (b["bottom"] > b["top"]))
+
+
+def screen_extent(boxes: Column) -> Column:
+    """Area of the box around all boxes, 0 without any."""
+    side = lambda f, agg: agg(F.transform(boxes, lambda b: b[f]))
+    return F.coalesce((side("right", F.array_max) - side("left", F.array_min)) * (side("bottom", F.array_max) - side("top", F.array_min)), F.lit(0)).cast("double")
+
+
+def relative_area(box: Column, extent: Column) -> Column:
+    return F.least(F.lit(1.0), F.when(extent > 0, (box["right"] - box["left"]) * (box["bottom"] - box["top"]) / extent).otherwise(0.0))
+
+
+def occupancy(nodes: Column) -> Column:
+    """Sum of the nodes' areas relative to their own extent (over 1 where they nest)."""
+    boxes = valid_bounds(nodes)
+    extent = screen_extent(boxes)
+    return F.aggregate(F.transform(boxes, lambda b: relative_area(b, extent)), F.lit(0.0), lambda s, x: s + x)
 
 
 def in_bucket(bucket: str):
@@ -156,14 +175,11 @@ def node_features(df: DataFrame, nodes: str = "nodes") -> DataFrame:
         out = out.withColumn(f"_{b}", count(in_bucket(b)))
     out = out.withColumn("ui_webview", (F.col("_webview") > 0).cast("double")).withColumn("ui_list", (F.col("_list") > 0).cast("double"))
     out = out.withColumn("ui_form_like_control_count", F.col("_switch") + F.col("_edit"))
-    boxes = valid_bounds(F.col(nodes))
-    side = lambda f, agg: agg(F.transform(boxes, lambda x: x["bounds_grid"][f]))
-    extent = (side("right", F.array_max) - side("left", F.array_min)) * (side("bottom", F.array_max) - side("top", F.array_min))
-    out = out.withColumn("_extent", F.coalesce(extent, F.lit(0)).cast("double"))
-    area = lambda x: F.least(F.lit(1.0), F.when(F.col("_extent") > 0, (x["bounds_grid"]["right"] - x["bounds_grid"]["left"]) * (x["bounds_grid"]["bottom"] - x["bounds_grid"]["top"]) / F.col("_extent")).otherwise(0.0))
+    out = out.withColumn("_boxes", valid_bounds(F.col(nodes))).withColumn("_extent", screen_extent(F.col("_boxes")))
+    boxes, area = F.col("_boxes"), lambda b: relative_area(b, F.col("_extent"))
     out = out.withColumn("ui_bounds_occupancy", F.least(F.lit(1.0), F.aggregate(F.transform(boxes, area), F.lit(0.0), lambda s, x: s + x)))
     surface = F.exists(boxes, lambda x: F.lower(x["class_name"]).rlike("surface|texture|video|canvas") & (area(x) > 0.5))
     out = out.withColumn("ui_surface_like", F.coalesce(surface, F.lit(False)).cast("double"))
     ratio = lambda c: F.col(c) / F.greatest(F.lit(1.0), F.col("ui_node_count"))
     out = out.withColumn("ui_editable_ratio", ratio("ui_editable_count")).withColumn("ui_scrollable_ratio", ratio("ui_scrollable_count"))
-    return out.drop("_webview", "_list", "_switch", "_edit", "_extent")
+    return out.drop("_webview", "_list", "_switch", "_edit", "_extent", "_boxes")

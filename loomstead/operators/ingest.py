@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-
+import json
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -12,12 +13,21 @@ from pyspark.sql import functions as F
 ALGORITHM = "LZ4_FRAME+JSON"
 ENVELOPE_KEYS = ["algorithm", "batch_id", "created_at_wall_millis", "device_id", "payload_base64", "payload_sha256_hex", "rule_hash", "rule_version"]
 BATCH_KEYS = [
-    "app_package_name", "base_elapsed_nanos", "batch_id", "collection_source", "context_events", "context_features", "device_id", "ended_at_wall_millis",
-    "record_type", "sensor_samples", "session_id", "skip_events", "started_at_wall_millis", "touch_events",
+    "app_package_name", "base_elapsed_nanos", "batch_id", "collection_source", "context_events", "context_features", "device_id", "diagnostics",
+    "ended_at_wall_millis", "record_type", "sampling_rate_hz", "sensor_samples", "session_id", "started_at_wall_millis",
 ]
-TEXT_EVENTS = ["VIEW_TEXT_CHANGED", "VIEW_TEXT_SELECTION_CHANGED", "VIEW_TEXT_TRAVERSED_AT_MOVEMENT_GRANULARITY"]
-FORBIDDEN_DETAIL = ["text", "before_text", "content_description", "before_text_length", "text_length", "added_count"]
-CATEGORIES = ["I0", "I1", "I2", "I3", "I4", "I5", "I6", "I7", "C0", "C1", "C2", "C3", "C4", "C5", "C6", "unknown"]
+TEXT_EVENTS = ["TYPE_VIEW_TEXT_CHANGED", "TYPE_VIEW_TEXT_SELECTION_CHANGED", "TYPE_VIEW_TEXT_TRAVERSED_AT_MOVEMENT_GRANULARITY"]
+FORBIDDEN_DETAIL = ["before_text_length", "text_total_length", "content_description_length", "text_entry_count", "added_count", "removed_count"]
+INDEX_DETAIL = ["from_index", "to_index", "item_count", "current_item_index"]
+FORBIDDEN_NODE_KEYS = ["contentDescription", "content_description", "hintText", "hint_text", "error", "paneTitle", "containerTitle"]
+CATEGORIES = ["I0", "I1", "I2", "I3", "I4", "I5", "I6", "I7", "C0", "C1", "C2", "C3", "C4", "C5", "C6"]
+SOURCES = ["BUILTIN_TASK", "THIRD_PARTY_APP"]
+SENSORS = ["ACCELEROMETER", "GYROSCOPE", "MAGNETIC_FIELD"]
+TOUCHES = ["TOUCH_INTERACTION_START", "TOUCH_INTERACTION_END", "TOUCH_DOWN", "TOUCH_UP", "TOUCH_POINTER_DOWN", "TOUCH_POINTER_UP", "TOUCH_CANCEL"]
+ORIENTATIONS = ["portrait", "landscape", "portrait_reverse", "landscape_reverse", "unknown"]
+TASK_FIELDS = ["task_sequence", "task_id", "task_name", "task_intuitive_description", "task_category", "task_session_id", "task_started_at_wall_millis", "task_elapsed_seconds_at_batch_end"]
+ECHOED = ["collection_source", "task_category", "task_id", "task_sequence", "task_name", "task_intuitive_description", "task_session_id"]
+TEXTS_REQUIRED = ["session_id", "app_package_name", "app_version", "rule_version", "rule_hash", "consent_version"]
 HEX64 = "^[a-f0-9]{64}$"
 UUID = "^(urn:uuid:)?\\{?[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}\\}?$"
 BASE64 = "^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"
@@ -72,21 +82,84 @@ def decoded(envelopes: DataFrame) -> DataFrame:
     return out.withColumn("reason", reason)
 
 
-def batch_ok(b: str = "batch") -> Column:
-    """The batch contract over a parsed struct: time order, task fields, feature echo, event references, counts."""
+def _all(conditions) -> Column:
+    return reduce(lambda x, y: x & y, conditions)
+
+
+def _names(values: list[str]) -> Column:
+    return F.array(*[F.lit(v) for v in values])
+
+
+#: Keys of every node and the detail of every event of a raw batch document, whatever else the schema reads.
+KEYS_SCHEMA = "struct<context_events:array<struct<event_type:string,event_detail:map<string,string>,root_nodes:array<map<string,string>>>>>"
+
+
+def privacy_ok(b: str, raw: Column | str) -> Column:
+    """No window title, no password node, no node text, no forbidden node key (null or not), no text telemetry."""
+    keys = F.from_json(raw, KEYS_SCHEMA)["context_events"]
+    some = lambda x, kind: F.coalesce(x, F.array().cast(kind))
+    no_text = lambda n: F.length(F.concat_ws("", n["text"], n["text_redacted"], n["content_desc_redacted"])) == 0
+    nodes = "array<map<string,string>>"
+    index_set = lambda d: reduce(lambda x, y: x | y, [F.coalesce(F.try_element_at(d, F.lit(k)), F.lit("-1")) != "-1" for k in INDEX_DETAIL])
+    bad_key = F.exists(some(keys, "array<" + KEYS_SCHEMA.split("array<", 1)[1].rsplit(">>", 1)[0] + ">"), lambda e: (
+        F.exists(some(e["root_nodes"], nodes), lambda n: F.coalesce(F.arrays_overlap(F.map_keys(n), _names(FORBIDDEN_NODE_KEYS)), F.lit(False)))
+        | F.coalesce(F.arrays_overlap(F.map_keys(e["event_detail"]), _names(FORBIDDEN_DETAIL)), F.lit(False))
+        | (F.coalesce(e["event_type"].isin(TEXT_EVENTS), F.lit(False)) & F.coalesce(index_set(e["event_detail"]), F.lit(False)))
+    ))
+    quiet = F.forall(F.col(f"{b}.context_events"), lambda e: (F.coalesce(F.length(e["window_title_redacted"]), F.lit(0)) == 0) & F.coalesce(F.forall(e["root_nodes"], lambda n: ~F.coalesce(n["password"], F.lit(False)) & no_text(n)), F.lit(True)))
+    return ~bad_key & F.coalesce(quiet, F.lit(True))
+
+
+def ranges_ok(b: str) -> Column:
+    """Samples, touches, events and features: names that are known, times that are not negative."""
     c = lambda f: F.col(f"{b}.{f}")
-    task = ["task_sequence", "task_id", "task_name", "task_intuitive_description", "task_category", "task_session_id", "task_started_at_wall_millis", "task_elapsed_seconds_at_batch_end"]
-    every, none = [c(t).isNotNull() for t in task], [c(t).isNull() for t in task]
-    all_of = lambda xs: __import__("functools").reduce(lambda x, y: x & y, xs)
-    builtin = (c("collection_source") == "BUILTIN_TASK") & all_of(every) & c("task_category").isin(CATEGORIES) & (c("task_id") == c("task_category")) & c("task_sequence").eqNullSafe(F.expr(f"try_cast(substring({b}.task_id, 2) AS BIGINT)"))
-    third = (c("collection_source") == "THIRD_PARTY_APP") & all_of(none)
-    echo = F.forall(c("context_features"), lambda f: f["collection_source"].eqNullSafe(c("collection_source")) & f["task_category"].eqNullSafe(c("task_category")))
-    known = F.size(F.array_except(F.transform(c("context_features"), lambda f: f["event_id"]), F.transform(c("context_events"), lambda e: e["event_id"]))) == 0
-    d = lambda f: F.col(f"{b}.diagnostics.{f}")
-    counts = (d("sensor_sample_count") == F.size(c("sensor_samples"))) & (d("context_event_count") == F.size(c("context_events"))) & (d("touch_event_count") == F.size(c("touch_events")))
-    fixed = d("redaction_applied") & (d("compression") == "lz4_frame") & (d("encryption") == "none")
-    private = ~F.exists(c("context_events"), lambda e: (F.length(F.coalesce(e["window_title_redacted"], F.lit(""))) > 0) | F.exists(e["root_nodes"], lambda n: F.coalesce(n["password"], F.lit(False)) | (F.length(F.concat_ws("", n["text"], n["text_redacted"], n["content_desc_redacted"])) > 0)) | F.arrays_overlap(F.map_keys(F.coalesce(e["event_detail"], F.create_map().cast("map<string,string>"))), F.array(*[F.lit(k) for k in FORBIDDEN_DETAIL])))
-    return F.coalesce((c("record_type") == "collection") & (c("started_at_wall_millis") <= c("ended_at_wall_millis")) & (builtin | third) & echo & known & counts & fixed & private, F.lit(False))
+    each = lambda f, test: F.coalesce(F.forall(c(f), lambda x: F.coalesce(test(x), F.lit(False))), F.lit(True))
+    since = lambda x, *fields: _all([x[f] >= 0 for f in fields])
+    placed = lambda o: o.isNull() | o.isin(ORIENTATIONS)
+    return (
+        each("sensor_samples", lambda s: s["sensor_type"].isin(SENSORS) & since(s, "timestamp_elapsed_nanos", "wall_time_estimated_millis") & s["x"].isNotNull() & s["y"].isNotNull() & s["z"].isNotNull())
+        & each("touch_events", lambda t: t["event_type"].isin(TOUCHES) & t["event_id"].isNotNull() & since(t, "event_time_uptime_millis", "event_time_wall_millis", "collected_at_wall_millis"))
+        & each("context_events", lambda e: e["event_id"].isNotNull() & e["event_type"].isNotNull() & since(e, "event_time_wall_millis") & placed(e["coarse_orientation"]))
+        & each("context_features", lambda f: f["feature_id"].isNotNull() & f["event_id"].isNotNull() & since(f, "computed_at_wall_millis") & f["collection_source"].isin(SOURCES) & (f["task_category"].isNull() | f["task_category"].isin(CATEGORIES)) & placed(f["coarse_orientation"]))
+    )
+
+
+def task_ok(b: str) -> Column:
+    """A task of our own names itself fully and consistently; a batch of another app names none."""
+    c = lambda f: F.col(f"{b}.{f}")
+    builtin = (c("collection_source") == "BUILTIN_TASK") & _all([c(t).isNotNull() for t in TASK_FIELDS]) & c("task_category").isin(CATEGORIES) & (c("task_id") == c("task_category")) & c("task_sequence").eqNullSafe(F.expr(f"try_cast(substring({b}.task_id, 2) AS BIGINT)"))
+    return builtin | ((c("collection_source") == "THIRD_PARTY_APP") & _all([c(t).isNull() for t in TASK_FIELDS]))
+
+
+def counts_ok(b: str) -> Column:
+    """Diagnostics: the fixed values, the counts of what the batch holds, the sampling rate where it is given."""
+    c = lambda f: F.col(f"{b}.{f}")
+    size = lambda f: F.coalesce(F.array_size(c(f)), F.lit(0))
+    count = lambda d, f: F.coalesce(c(f"diagnostics.{d}"), F.lit(0)) == size(f)
+    rate = c("diagnostics.sampling_rate_hz").isNull() | (c("diagnostics.sampling_rate_hz") == c("sampling_rate_hz"))
+    fixed = c("diagnostics.redaction_applied") & (c("diagnostics.compression") == "lz4_frame") & (c("diagnostics.encryption") == "none")
+    return fixed & rate & count("sensor_sample_count", "sensor_samples") & count("context_event_count", "context_events") & count("touch_event_count", "touch_events")
+
+
+def batch_ok(b: str = "batch", raw: Column | str = "plain") -> Column:
+    """The batch contract over a parsed struct and its document: ids, times, task fields, echoed fields of features,
+    references to events, counts, known names, privacy. A null anywhere that matters fails."""
+    c = lambda f: F.col(f"{b}.{f}")
+    features, events = c("context_features"), c("context_events")
+    echo = F.coalesce(F.forall(features, lambda f: _all([f[x].eqNullSafe(c(x)) for x in ECHOED])), F.lit(True))
+    known = F.coalesce(F.size(F.array_except(F.transform(features, lambda f: f["event_id"]), F.transform(events, lambda e: e["event_id"]))) == 0, F.coalesce(F.size(features) < 1, F.lit(True)))
+    ids = c("device_id").rlike(HEX64) & canonical_uuid(c("batch_id")).isNotNull() & (c("record_type") == "collection") & _all([c(t).isNotNull() for t in TEXTS_REQUIRED]) & (F.length(c("session_id")) > 0)
+    times = (c("started_at_wall_millis") >= 0) & (c("started_at_wall_millis") <= c("ended_at_wall_millis")) & (c("base_elapsed_nanos") >= 0) & (c("sampling_rate_hz") > 0) & (c("batch_duration_seconds") >= 0)
+    return F.coalesce(ids & times & task_ok(b) & echo & known & counts_ok(b) & ranges_ok(b) & privacy_ok(b, raw), F.lit(False))
+
+
+def _canonical(column: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else json.dumps(json.loads(x), sort_keys=True, separators=(",", ":"), ensure_ascii=False) for x in column.to_pylist()], pa.string())
+
+
+def canonical_text(document: Column | str) -> Column:
+    """A JSON document with sorted keys at every depth and no spaces: equal for documents that say the same."""
+    return F.arrow_udf(_canonical, "string")(document)
 
 
 def duplicates(df: DataFrame, keys: list[str], order: list[str], content: str) -> DataFrame:
@@ -113,9 +186,8 @@ def redact(text: Column, rules: list[tuple[str, str, str]] = REDACTIONS) -> Colu
 
 def sanitized_detail(detail: Column, is_text: Column) -> Column:
     """An event's detail map without the forbidden keys, and on text events without index keys."""
-    index = ["from_index", "to_index", "item_count", "current_item_index"]
     kept = F.map_filter(detail, lambda k, v: ~k.isin(FORBIDDEN_DETAIL))
-    return F.when(is_text, F.map_filter(kept, lambda k, v: ~k.isin(index))).otherwise(kept)
+    return F.when(is_text, F.map_filter(kept, lambda k, v: ~k.isin(INDEX_DETAIL))).otherwise(kept)
 
 
 def quarantine_record(df: DataFrame, raw: str) -> DataFrame:

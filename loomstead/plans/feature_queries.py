@@ -124,7 +124,7 @@ def tree_diff_l1(spark, sf_dir):
     return prev.select("month", F.abs(add("n") - add("p")).alias("node_delta"), add(steps).alias("category_l1"), F.coalesce(F.exists(steps, lambda x: x > 0), F.lit(False)).alias("changed"))
 
 
-@register("structural_hash", "F28", "SELECT l_orderkey, substr(sha256(string_agg(concat_ws('|', l_linenumber, l_returnflag, l_linestatus), chr(10) ORDER BY l_linenumber, concat_ws('|', l_linenumber, l_returnflag, l_linestatus))), 1, 8) AS structure FROM lineitem GROUP BY l_orderkey")
+@register("structural_hash", "F28", "SELECT l_orderkey, ('0x' || substr(sha256(string_agg(concat_ws('|', l_linenumber, l_returnflag, l_linestatus), chr(10) ORDER BY l_linenumber, concat_ws('|', l_linenumber, l_returnflag, l_linestatus))), 1, 8))::BIGINT AS structure FROM lineitem GROUP BY l_orderkey")
 def structural_hash(spark, sf_dir):
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     lines = F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", F.concat_ws("|", F.col("l_linenumber").cast("string"), "l_returnflag", "l_linestatus").alias("line")))), lambda x: x["line"])
@@ -212,7 +212,7 @@ def canonical_scenes(spark, sf_dir):
     return d.select("doc_id", R.canonical_scene(F.col("c"), F.col("lang"), "de").alias("scene"))
 
 
-@register("privacy_quantize", "P11 P12", "SELECT l_orderkey, l_linenumber, round_even(l_extendedprice / 0.5, 0) * 0.5 AS price, round_even(l_discount / 0.05, 0) * 0.05 AS discount FROM lineitem")
+@register("privacy_quantize", "P11", "SELECT l_orderkey, l_linenumber, round_even(l_extendedprice / 0.5, 0) * 0.5 AS price, round_even(l_discount / 0.05, 0) * 0.05 AS discount FROM lineitem")
 def privacy_quantize(spark, sf_dir):
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return li.select("l_orderkey", "l_linenumber", quantize("l_extendedprice", 0.5).alias("price"), quantize("l_discount", 0.05).alias("discount"))

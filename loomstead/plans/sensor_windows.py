@@ -15,11 +15,12 @@ from ..operators import scene_rules as R
 from ..operators import timeline as T
 from ..sources.batches import samples
 
-CHANNELS = {"acc": "accelerometer", "gyro": "gyroscope", "mag": "magnetometer"}
+# Fixed values of the batch contract and of the feature vocabulary.
+CHANNELS = {"acc": "ACCELEROMETER", "gyro": "GYROSCOPE", "mag": "MAGNETIC_FIELD"}
 TIME_STATS = ["mean", "std", "min", "max", "rms", "energy", "zcr", "jerk", "skew", "kurt"]
 EVENTS = {
-    "evt_click_count": "VIEW_CLICKED", "evt_longclick_count": "VIEW_LONG_CLICKED", "evt_scroll_count": "VIEW_SCROLLED", "evt_textchanged_count": "VIEW_TEXT_CHANGED",
-    "evt_focus_count": "VIEW_FOCUSED", "evt_windowstate_count": "WINDOW_STATE_CHANGED", "evt_windowcontent_count": "WINDOW_CONTENT_CHANGED",
+    "evt_click_count": "TYPE_VIEW_CLICKED", "evt_longclick_count": "TYPE_VIEW_LONG_CLICKED", "evt_scroll_count": "TYPE_VIEW_SCROLLED", "evt_textchanged_count": "TYPE_VIEW_TEXT_CHANGED",
+    "evt_focus_count": "TYPE_VIEW_FOCUSED", "evt_windowstate_count": "TYPE_WINDOW_STATE_CHANGED", "evt_windowcontent_count": "TYPE_WINDOW_CONTENT_CHANGED",
 }
 UI = [
     "ui_node_count_mean", "ui_node_count_max", "ui_max_depth", "ui_clickable_count", "ui_editable_count", "ui_scrollable_count", "ui_focusable_count", "ui_editable_ratio", "ui_scrollable_ratio",
@@ -129,8 +130,9 @@ def window_events(windows: DataFrame, batches: DataFrame, children: str, at: str
     return T.range_attach(held, own, ["batch_id"], "start_wall", "end_wall", "at", 1000).select(*KEYS, "at", "pos", "batch_id", "e")
 
 
-def windows_table(batches: DataFrame, mode: str = "ui_sensor", size_s: float = 5.0, stride_s: float = 1.0, self_package: str = "com.contextauth", **options) -> DataFrame:
-    """One row per window: ids, bounds, the mode's features, weak labels, flags and the task's category."""
+def windows_table(batches: DataFrame, self_package: str, mode: str = "ui_sensor", size_s: float = 5.0, stride_s: float = 1.0, **options) -> DataFrame:
+    """One row per window: ids, bounds, the mode's features, weak labels, flags and the task's category. Windows of
+    `self_package` (the collecting app) outside a task are left out; channels a window lacks count as missing."""
     w = windowed_samples(batches, size_s, stride_s, **options)
     # every batch of a session may hold events of any of its windows
     session_batches = w.groupBy("session_id").agg(F.collect_set("batch_id").alias("batch_ids"))
@@ -153,14 +155,13 @@ def windows_table(batches: DataFrame, mode: str = "ui_sensor", size_s: float = 5
     full = F.when(F.size("nodes") > 0, ordered)
     ui = nodes.groupBy(*KEYS).agg(F.max_by("nodes", full).alias("nodes"), F.avg(F.when(F.size("nodes") > 0, F.size("nodes"))).alias("ui_node_count_mean"), F.max(F.size("nodes")).cast("double").alias("ui_node_count_max"), F.max_by("nodes", ordered).alias("_last"), F.min_by("nodes", full).alias("_first"), F.count_if(F.size("nodes") > 0).alias("_full"), F.countDistinct("e.app_package_name").alias("_event_packages"))
     touches = window_events(base, batches, "touch_events", "event_time_wall_millis").groupBy(*KEYS).agg((F.count(F.lit(1)) / F.lit(seconds)).alias("touch_rate"))
-    out = base.join(imu_features(w), KEYS).join(mix, KEYS, "left").join(ui, KEYS, "left").join(touches, KEYS, "left")
+    out = base.join(imu_features(w), KEYS, "left").join(mix, KEYS, "left").join(ui, KEYS, "left").join(touches, KEYS, "left")
     out = T.carry_previous(out, ["session_id"], ["window_index"], "_last", "_previous")
     out = X.node_features(out, "nodes")
     reference = F.when(F.size("_previous") > 0, F.col("_previous")).when(F.col("_full") >= 2, F.col("_first"))
     buckets = ["edit", "list", "switch", "webview", "surface", "button", "text", "other"]
     histogram = lambda c: F.array(*[F.size(F.filter(c, X.in_bucket(b))) for b in buckets])
     line = lambda x: F.concat_ws("|", X.class_bucket(x["class_name"]), *[F.coalesce(x[f], F.lit(False)).cast("int").cast("string") for f in ("clickable", "editable", "scrollable", "checkable")], F.coalesce(x["depth"], F.lit(0)).cast("string"))
-    area = lambda c: F.aggregate(F.transform(X.valid_bounds(c), lambda x: ((x["bounds_grid"]["right"] - x["bounds_grid"]["left"]) * (x["bounds_grid"]["bottom"] - x["bounds_grid"]["top"])).cast("double")), F.lit(0.0), lambda s, x: s + x)
     out = out.withColumn("_ref", reference)
     ref, now = F.col("_ref"), F.col("nodes")
     both = ref.isNotNull() & now.isNotNull()
@@ -168,18 +169,18 @@ def windows_table(batches: DataFrame, mode: str = "ui_sensor", size_s: float = 5
     out = (
         out.withColumn("ui_treediff_nodedelta", F.when(both, F.abs(F.size(now) - F.size(ref))).when(none_now, F.size("_previous")).otherwise(0).cast("double"))
         .withColumn("ui_treediff_categoryl1", F.when(both, F.aggregate(F.zip_with(histogram(now), histogram(ref), lambda a, b: F.abs(a - b)), F.lit(0), lambda s, x: s + x)).otherwise(0).cast("double"))
-        .withColumn("ui_treediff_boundsl1", F.when(both, F.abs(area(now) - area(ref))).otherwise(0.0))
+        .withColumn("ui_treediff_boundsl1", F.when(both, F.abs(X.occupancy(now) - X.occupancy(ref))).otherwise(0.0))
         .withColumn("ui_treediff_hashchanged", F.when(both, X.structural_hash(F.transform(now, line)) != X.structural_hash(F.transform(ref, line))).otherwise(none_now).cast("double"))
         .withColumn("ui_stable_ms", F.when(now.isNull(), size_s * 1000.0).otherwise(size_s * 1000.0 / (1 + F.coalesce(F.col("evt_windowcontent_count"), F.lit(0.0)) + F.coalesce(F.col("evt_windowstate_count"), F.lit(0.0)))))
         .withColumn("ui_scroll_indicator", (F.coalesce(F.col("ui_scrollable_count"), F.lit(0.0)) > 0).cast("double"))
         .withColumn("pkg_bucket_hash", (hash_number(F.col("package_bucket"), 8) % 1024).cast("double"))
     )
     every = feature_columns("ui_sensor")
-    out = out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in [*every, "touch_rate"]})
+    out = out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(1.0 if c.endswith("_missing") else 0.0)) for c in [*every, "touch_rate"]})
     labels = R.weak_labels(out, KEYS)
     named = out.join(labels, KEYS)
     flags = R.quality_flags({
-        "missing_sensor": F.col("_channels") < 3, "low_record_count": F.col("n_samples") < 30, "missing_ui": F.coalesce(F.col("_full"), F.lit(0)) == 0, "service_restart": F.col("_restart"), "time_gap": F.col("_gap"),
+        "missing_sensor": F.col("acc_missing") + F.col("gyro_missing") + F.col("mag_missing") > 0, "low_record_count": F.col("n_samples") < 30, "missing_ui": F.coalesce(F.col("_full"), F.lit(0)) == 0, "service_restart": F.col("_restart"), "time_gap": F.col("_gap"),
         "app_transition_window": (F.col("_packages") > 1) | (F.coalesce(F.col("_event_packages"), F.lit(0)) > 1),
     }, F.col("low_confidence"))
     ids = [

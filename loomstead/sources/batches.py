@@ -14,20 +14,41 @@ NODE = (
     "checkable:boolean,checked:boolean,enabled:boolean,focused:boolean,selected:boolean,visible_to_user:boolean,long_clickable:boolean,password:boolean,input_type_category:string,child_count:int,"
     "text:string,text_redacted:string,content_desc_redacted:string,actions_summary:array<string>,depth:int>"
 )
-EVENT = f"struct<event_id:string,event_type:string,event_time_wall_millis:bigint,app_package_name:string,window_title_redacted:string,root_nodes:array<{NODE}>,event_detail:map<string,string>>"
-FEATURE = "struct<feature_id:string,event_id:string,collection_source:string,task_category:string>"
+EVENT = (
+    "struct<event_id:string,event_type:string,event_time_wall_millis:bigint,app_package_name:string,foreground_activity_class_name:string,foreground_component_name:string,input_method_visible:boolean,"
+    f"coarse_orientation:string,window_title_redacted:string,root_nodes:array<{NODE}>,redaction_summary:map<string,bigint>,event_detail:map<string,string>>"
+)
+FEATURE = (
+    "struct<feature_id:string,event_id:string,computed_at_wall_millis:bigint,collection_source:string,task_sequence:bigint,task_id:string,task_name:string,task_intuitive_description:string,task_category:string,"
+    "task_session_id:string,node_class_histogram:map<string,bigint>,event_type:string,coarse_orientation:string,estimated_context_category:string>"
+)
 BATCH = (
-    "batch_id string, device_id string, session_id string, record_type string, collection_source string, app_package_name string, task_sequence bigint, task_id string, task_name string, "
+    "batch_id string, device_id string, session_id string, record_type string, collection_source string, app_package_name string, sampling_rate_hz bigint, batch_duration_seconds bigint, app_version string, rule_version string, rule_hash string, consent_version string, task_sequence bigint, task_id string, task_name string, "
     "task_intuitive_description string, task_category string, task_session_id string, task_started_at_wall_millis bigint, task_elapsed_seconds_at_batch_end bigint, started_at_wall_millis bigint, "
     f"ended_at_wall_millis bigint, base_elapsed_nanos bigint, sensor_samples array<{SAMPLE}>, touch_events array<{TOUCH}>, context_events array<{EVENT}>, context_features array<{FEATURE}>, skip_events array<string>, "
     "diagnostics struct<sensor_sample_count:bigint,context_event_count:bigint,touch_event_count:bigint,redaction_applied:boolean,compression:string,encryption:string,sampling_rate_hz:int>"
 )
 
 
-def read_batches(spark: SparkSession, root: str, strict: bool = False) -> DataFrame:
-    """One row per batch document below root: the parsed columns and `raw`. Documents without a required key, or that
-    are no JSON object, are left out; strict stops at the first. Sidecars and category views are skipped."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root, wholetext=True)
+def _folder(spark: SparkSession, *parts: str) -> tuple:
+    """(file system, path) in whatever store Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path("/".join(parts))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def device_ids(spark: SparkSession, root: str) -> list[str]:
+    """The device folders below root/devices, sorted; none if there is no such folder."""
+    fs, path = _folder(spark, root, "devices")
+    return sorted(f.getPath().getName() for f in fs.listStatus(path) if f.isDirectory()) if fs.exists(path) else []
+
+
+def read_batches(spark: SparkSession, root: str, strict: bool = False, device_id: str | None = None) -> DataFrame:
+    """One row per batch document of root/devices (of one device, if asked; of root itself where there is no such
+    folder): the parsed columns and `raw`. Documents without a required key, or that are no JSON object, are left
+    out; strict stops at the first. Sidecars and category views are skipped."""
+    fs, path = _folder(spark, root, "devices")
+    below = f"{root}/devices/{device_id}" if device_id else f"{root}/devices" if fs.exists(path) else root
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(below, wholetext=True)
     path = F.col("_metadata.file_path")
     docs = files.where(~path.contains("/by_category/") & ~path.endswith(".meta.json")).select(F.col("value").alias("raw"))
     keys = F.json_object_keys("raw")

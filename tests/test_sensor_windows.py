@@ -12,15 +12,15 @@ def batch(i: int, n: int = 500, device: str = "d" * 64, drop: str = "", package:
     base, wall = 10**9 + i * 5_010_000_000, 1_710_000_000_000 + i * 5_010
     rng = np.random.default_rng(i)
     data = []
-    for kind, level in (("accelerometer", 9.81), ("gyroscope", 0.0), ("magnetometer", 30.0)):
+    for kind, level in (("ACCELEROMETER", 9.81), ("GYROSCOPE", 0.0), ("MAGNETIC_FIELD", 30.0)):
         if kind != drop:
             data += [{"sensor_type": kind, "timestamp_elapsed_nanos": base + j * 10**7, "wall_time_estimated_millis": wall + j * 10, "x": float(rng.normal(0, 0.05)), "y": float(rng.normal(0, 0.05)), "z": level + float(rng.normal(0, 0.05)), "accuracy": 3} for j in range(n)]
     nodes = [{"class_name": "android.widget.EditText", "editable": True, "focused": True, "depth": 1, "bounds_grid": {"left": 0, "top": 0, "right": 10, "bottom": 5}}, {"class_name": "androidx.RecyclerView", "scrollable": True, "depth": 2, "bounds_grid": {"left": 0, "top": 5, "right": 10, "bottom": 10}}]
     return {
         "batch_id": f"00000000-0000-4000-8000-00000000000{i}", "device_id": device, "session_id": "u1", "record_type": "collection", "collection_source": "BUILTIN_TASK", "app_package_name": package, "task_category": "I1", "task_name": "type",
-        "started_at_wall_millis": wall, "ended_at_wall_millis": wall + 5000, "base_elapsed_nanos": base, "sensor_samples": data, "context_features": [], "skip_events": [],
-        "touch_events": [{"event_id": f"t{i}", "event_type": "DOWN", "event_time_wall_millis": wall + 100}],
-        "context_events": [{"event_id": f"e{i}", "event_type": "VIEW_TEXT_CHANGED", "event_time_wall_millis": wall + 1000, "app_package_name": package, "root_nodes": nodes}],
+        "started_at_wall_millis": wall, "ended_at_wall_millis": wall + 5000, "base_elapsed_nanos": base, "sensor_samples": data, "context_features": [], "sampling_rate_hz": 100, "diagnostics": {},
+        "touch_events": [{"event_id": f"t{i}", "event_type": "TOUCH_DOWN", "event_time_wall_millis": wall + 100}],
+        "context_events": [{"event_id": f"e{i}", "event_type": "TYPE_VIEW_TEXT_CHANGED", "event_time_wall_millis": wall + 1000, "app_package_name": package, "root_nodes": nodes}],
     }
 
 
@@ -45,7 +45,7 @@ def test_feature_vocabulary():
 
 
 def test_windows_of_two_batches(batches):
-    out = S.windows_table(batches, min_session_s=5.0).orderBy("window_index").collect()
+    out = S.windows_table(batches, "own.app", min_session_s=5.0).orderBy("window_index").collect()
     # ten seconds of samples: starts 0 to 5 keep their end within one stride of the last sample
     assert [r.window_index for r in out] == list(range(len(out))) and len(out) == 6
     first = out[0]
@@ -56,8 +56,8 @@ def test_windows_of_two_batches(batches):
 
 
 def test_numpy_agrees_on_a_window(batches):
-    row = S.windows_table(batches).where("window_index = 0").first()
-    v = np.array([s["x"] for s in batch(0)["sensor_samples"] if s["sensor_type"] == "gyroscope"])
+    row = S.windows_table(batches, "own.app").where("window_index = 0").first()
+    v = np.array([s["x"] for s in batch(0)["sensor_samples"] if s["sensor_type"] == "GYROSCOPE"])
     centred = v - v.mean()
     assert abs(row.gyro_x_std - v.std()) < 1e-9 and abs(row.gyro_x_jerk - (np.diff(v) ** 2).mean()) < 1e-9
     assert abs(row.gyro_x_zcr - (np.signbit(centred[1:]) != np.signbit(centred[:-1])).mean()) < 1e-9
