@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from functools import reduce
 
 import pyarrow as pa
@@ -71,6 +72,27 @@ def lz4_decode(packed: Column | str) -> Column:
     return F.arrow_udf(_unpack, "binary")(packed)
 
 
+def _pack(column: pa.Array) -> pa.Array:
+    out = []
+    for x in column.to_pylist():
+        sink = pa.BufferOutputStream()
+        with pa.CompressedOutputStream(sink, "lz4") as f:
+            f.write(x or b"")
+        out.append(None if x is None else sink.getvalue().to_pybytes())
+    return pa.array(out, pa.binary())
+
+
+def lz4_encode(plain: Column | str) -> Column:
+    """LZ4 frames of plain bytes."""
+    return F.arrow_udf(_pack, "binary")(plain)
+
+
+def enveloped(batches: DataFrame, plain: str = "plain") -> DataFrame:
+    """Adds the payload columns of an envelope around the document in `plain`."""
+    packed = batches.withColumn("_packed", lz4_encode(F.encode(plain, "UTF-8")))
+    return packed.withColumns({"payload_base64": F.regexp_replace(F.base64("_packed"), "[\\r\\n]", ""), "payload_sha256_hex": F.sha2("_packed", 256), "algorithm": F.lit(ALGORITHM)}).drop("_packed")
+
+
 def decoded(envelopes: DataFrame) -> DataFrame:
     """Adds packed (compressed bytes), plain (text) and reason (of the envelope's own stages, null if fine)."""
     strict = F.when(F.col("payload_base64").rlike(BASE64), F.try_to_binary("payload_base64", F.lit("base64")))
@@ -162,6 +184,24 @@ def canonical_text(document: Column | str) -> Column:
     return F.arrow_udf(_canonical, "string")(document)
 
 
+def rated(envelopes: DataFrame, batch_schema: str, checks: Column | None = None) -> DataFrame:
+    """Envelopes with packed, plain, batch, day (UTC, of the batch's start), content (hash of the canonical text) and
+    the first failing reason, null for what may be stored. `checks` stands for batch_ok where it is given."""
+    out = decoded(envelopes).withColumn("batch", F.from_json("plain", batch_schema))
+    reason = F.coalesce(
+        "reason", F.when(~F.coalesce(batch_ok() if checks is None else checks, F.lit(False)), "schema_validation_failed").when(F.col("batch.device_id") != F.col("device_id"), "envelope_batch_device_id_mismatch")
+        .when(canonical_uuid(F.col("batch.batch_id")) != canonical_uuid(F.col("batch_id")), "envelope_batch_id_mismatch"),
+    )
+    out = out.withColumn("reason", reason).withColumn("day", F.date_format(F.timestamp_millis("batch.started_at_wall_millis"), "yyyy-MM-dd"))
+    return out.withColumn("content", F.when(F.col("reason").isNull(), F.sha2(canonical_text("plain"), 256)))
+
+
+def status_of(reason: Column | str) -> Column:
+    """The answer to an envelope: 200 stored or sent again, 409 conflict, 507 storage, 400 all else."""
+    c = F.col(reason) if isinstance(reason, str) else reason
+    return F.when(c.isNull(), 200).when(c == "duplicate_batch_id_conflict", 409).when(c.isin("disk_space_below_threshold", "storage_write_failed"), 507).otherwise(400)
+
+
 def duplicates(df: DataFrame, keys: list[str], order: list[str], content: str) -> DataFrame:
     """Adds outcome: stored for a key's first arrival, duplicate if the content is the same, conflict if it is not."""
     first = F.first(content).over(Window.partitionBy(*keys).orderBy(*order))
@@ -190,8 +230,48 @@ def sanitized_detail(detail: Column, is_text: Column) -> Column:
     return F.when(is_text, F.map_filter(kept, lambda k, v: ~k.isin(INDEX_DETAIL))).otherwise(kept)
 
 
+def sanitized_batch(raw: Column | str, batch: str = "batch") -> Column:
+    """The context events of a parsed batch with sanitized detail maps, other fields as they are."""
+    return F.transform(F.col(f"{batch}.context_events"), lambda e: e.withField("event_detail", sanitized_detail(e["event_detail"], e["event_type"].isin(TEXT_EVENTS))))
+
+
+def drop_columns(df: DataFrame, names: list[str] = (), prefixes: list[str] = ()) -> DataFrame:
+    """Without the columns of these names and of names that begin so."""
+    return df.drop(*[c for c in df.columns if c in names or any(c.startswith(p) for p in prefixes)])
+
+
+def client_hash(address: Column | str, salt: str) -> Column:
+    """What logs keep of a client's address: 16 hex digits of a salted hash."""
+    return F.substring(F.sha2(F.concat(F.lit(salt + ":"), address), 256), 1, 16)
+
+
+def rule_problems(rules: DataFrame) -> DataFrame:
+    """(id, problem) of redaction rules (id, target, action, pattern) that break the contract: names out of range, REDACT
+    or DROP without a pattern, a pattern that does not compile."""
+    known = F.col("target").isin("text", "content_description", "node") & F.col("action").isin("REDACT", "DROP", "ALLOW")
+    needs = F.col("action").isin("REDACT", "DROP") & (F.coalesce(F.length("pattern"), F.lit(0)) == 0)
+    problem = F.when(~F.coalesce(known, F.lit(False)), "unknown_target_or_action").when(needs, "pattern_required").when(~F.coalesce(F.arrow_udf(_compiles, "boolean")("pattern"), F.lit(True)), "pattern_does_not_compile")
+    return rules.select("id", problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def _compiles(column: pa.Array) -> pa.Array:
+    def fine(p: str | None) -> bool:
+        try:
+            re.compile(p or "")
+            return True
+        except re.error:
+            return False
+
+    return pa.array([fine(p) for p in column.to_pylist()])
+
+
+def rules_hash(document: Column | str) -> Column:
+    """The hash of a rule document: of its canonical text, so that spelling does not matter."""
+    return F.sha2(canonical_text(document), 256)
+
+
 def quarantine_record(df: DataFrame, raw: str) -> DataFrame:
-    """What quarantine may keep of a payload: its hash and at most fifty sorted top-level keys."""
+    """What quarantine may keep of a payload: the hash of its text and at most fifty sorted top-level keys."""
     return df.withColumn("payload_sha256", F.sha2(F.col(raw), 256)).withColumn("top_keys", F.slice(F.array_sort(F.json_object_keys(raw)), 1, 50)).drop(raw)
 
 

@@ -1,73 +1,140 @@
-"""Structured Streaming forms: envelope ingest with fan-out to tables, and live k-of-n detection."""
+"""Structured Streaming forms: envelope ingest with fan-out to tables, live sessions, windows and detection."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
-from pyspark.sql.types import StructType
 
-from ..operators.ingest import decoded, duplicates
+from ..operators.ingest import duplicates, quarantine_record, rated, status_of
 
+KEY = ["device_id", "day", "batch_id"]
 
-def ingest_envelopes(envelopes: DataFrame, batch_schema: StructType, checks, root: str, checkpoint: str):
-    """Start a query over a stream of envelopes: accepted batches, index and errors go to tables below `root`.
+#: Reasons for which a document goes to quarantine: it could be read, but breaks the contract.
+QUARANTINED = ["schema_validation_failed", "envelope_batch_device_id_mismatch", "envelope_batch_id_mismatch"]
 
-    `checks` is a boolean column over the parsed struct `batch`. A batch's key is device, UTC day of its start and
-    id; the first arrival stays, an equal one adds nothing, another one is a conflict. Each micro-batch meets
-    only the stored keys of its own days, and a replayed micro-batch finds its own rows stored.
+
+def _exists(spark, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def fan_out(micro: DataFrame, number: int, batch_schema: str, root: str, checks=None) -> None:
+    """One micro-batch of envelopes into the tables below `root`: batches (with what a sidecar holds), idx_devices,
+    idx_batches, errors, quarantine, log. Each table has a folder of the micro-batch, written over on a replay, so a
+    replay leaves every table as it was. Stored keys are read for the micro-batch's own days only."""
+    spark = micro.sparkSession
+    prefix = F.left("device_id", F.lit(8))
+    all_ = rated(micro, batch_schema, checks).withColumn("request_id", F.sha2(F.concat_ws(":", "payload_sha256_hex", "created_at_wall_millis", "device_id", "batch_id"), 256)).persist()
+    put = lambda df, name, **by: df.write.mode("overwrite").parquet(f"{root}/{name}/micro={number}", **by)
+    try:
+        good = duplicates(all_.where("reason IS NULL"), KEY, ["created_at_wall_millis", "content"], "content")
+        if _exists(spark, f"{root}/batches"):
+            days = F.broadcast(all_.where("reason IS NULL").select("day").distinct())  # a micro-batch spans few days
+            held = spark.read.parquet(f"{root}/batches").where(F.col("micro") != number).withColumn("day", F.col("day").cast("string"))
+            held = held.join(days, "day", "left_semi").select(*KEY, F.col("content").alias("held"))
+            good = good.join(held, KEY, "left")
+            good = good.withColumn("outcome", F.when(F.col("held").isNull(), F.col("outcome")).when(F.col("held") == F.col("content"), "duplicate").otherwise("conflict"))
+        good = good.persist()
+        conflicts = good.where("outcome = 'conflict'").withColumn("reason", F.lit("duplicate_batch_id_conflict"))
+        failed = all_.where("reason IS NOT NULL").unionByName(conflicts.select(all_.columns))
+        stored = good.where("outcome = 'stored'")
+        now = F.unix_millis(F.current_timestamp()).alias("ingested_at_wall_millis")
+        category = F.get_json_object("plain", "$.task_category").alias("task_category")
+        sizes = [F.length("packed").alias("compressed_size_bytes"), F.octet_length("plain").alias("decompressed_size_bytes")]
+        put(failed.select("request_id", "reason", status_of("reason").alias("status"), prefix.alias("device_prefix"), "batch_id"), "errors")
+        quarantined = failed.where(F.col("reason").isin(QUARANTINED)).select("request_id", "reason", "plain")
+        put(quarantine_record(quarantined, "plain"), "quarantine")
+        put(stored.select("device_id").distinct().withColumn("device_id_prefix", prefix), "idx_devices")
+        put(stored.select("device_id", prefix.alias("device_id_prefix"), "batch_id", "day", F.get_json_object("plain", "$.collection_source").alias("collection_source"), category), "idx_batches", partitionBy="task_category")
+        event = F.when(F.col("outcome") == "stored", "stored").otherwise("duplicate")
+        put(good.where("outcome <> 'conflict'").select("request_id", event.alias("event"), F.lit(200).alias("status")).union(failed.select("request_id", F.col("reason").alias("event"), status_of("reason"))), "log")
+        put(stored.select(*KEY, "content", "plain", "request_id", now, *sizes, F.lit("ok").alias("schema_validation_result")), "batches", partitionBy="day")
+        good.unpersist()
+    finally:
+        all_.unpersist()
+
+
+def ingest_envelopes(envelopes: DataFrame, batch_schema: str, checks, root: str, checkpoint: str):
+    """Start a query over a stream of envelopes whose micro-batches fan out to the tables below `root`.
+
+    `checks` is a boolean column over the parsed struct `batch` (None: the whole contract). A batch's key is device,
+    UTC day of its start and id; the first arrival stays, one of the same canonical text adds nothing, another one is
+    a conflict. Micro-batches of one checkpoint are numbered; a second stream needs a root of its own number range,
+    so the folder name holds the checkpoint too.
     """
+    from hashlib import sha256
+
+    offset = int(sha256(checkpoint.encode()).hexdigest()[:6], 16) << 24
+    return envelopes.writeStream.foreachBatch(lambda micro, n: fan_out(micro, offset + n, batch_schema, root, checks)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def outcome_counters(log: DataFrame) -> DataFrame:
+    """(event, status, n) of the log table: what a metrics page counts."""
+    return log.groupBy("event", "status").agg(F.count(F.lit(1)).alias("n"))
+
 
-    def write(micro: DataFrame, number: int) -> None:
-        spark = micro.sparkSession
-        parsed = decoded(micro).withColumn("batch", F.from_json("plain", batch_schema))
-        reason = F.coalesce(
-            "reason", F.when(~F.coalesce(checks, F.lit(False)), "schema_validation_failed").when(F.col("batch.device_id") != F.col("device_id"), "envelope_batch_device_id_mismatch").when(F.lower("batch.batch_id") != F.lower("batch_id"), "envelope_batch_id_mismatch"),
-        )
-        day = F.date_format(F.timestamp_millis("batch.started_at_wall_millis"), "yyyy-MM-dd")
-        rated = parsed.withColumn("reason", reason).withColumn("day", day).withColumn("content", F.sha2("plain", 256)).persist()
-        try:
-            good = duplicates(rated.where("reason IS NULL"), ["device_id", "day", "batch_id"], ["created_at_wall_millis", "content"], "content")
-            path = f"{root}/batches"
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-                held = spark.read.parquet(path).select("device_id", "day", "batch_id", F.col("content").alias("held"))
-                good = good.join(held, ["device_id", "day", "batch_id"], "left")
-                good = good.withColumn("outcome", F.when(F.col("held").isNull(), F.col("outcome")).when(F.col("held") == F.col("content"), "duplicate").otherwise("conflict"))
-            good = good.persist()
-            errors = rated.where("reason IS NOT NULL").select("reason", F.left("device_id", F.lit(8)).alias("device_prefix"), "batch_id").unionByName(
-                good.where("outcome = 'conflict'").select(F.lit("duplicate_batch_id_conflict").alias("reason"), F.left("device_id", F.lit(8)).alias("device_prefix"), "batch_id")
-            )
-            errors.write.mode("append").parquet(f"{root}/errors/micro={number}")
-            good.where("outcome = 'stored'").select("device_id", "day", "batch_id", "content", "plain").write.mode("append").partitionBy("day").parquet(path)
-            good.unpersist()
-        finally:
-            rated.unpersist()
-
-    return envelopes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def live_k_of_n(scores: DataFrame, key: str, at: str, score: str, threshold: float, k: int, n: int) -> DataFrame:
-    """A stream of (key, at, alarm) from a stream of scores; the state of a key is its last n - 1 rejects."""
+def _whole(frames: Iterator[pd.DataFrame], at: str) -> pd.DataFrame:
+    """All rows of a key in one micro-batch, in time order: a key's rows may come in several frames."""
+    return pd.concat(list(frames), ignore_index=True).sort_values(at, kind="stable", ignore_index=True)
+
+
+def live_detection(scores: DataFrame, key: str, at: str, score: str, threshold: float, k: int, n: int, alpha: float = 0.5) -> DataFrame:
+    """A stream of (key, at, alarm, ewma_alarm) from a stream of scores: at least k rejects in the last n, and the
+    average e = alpha r + (1 - alpha) e over 0.5. The state of a key is its last n - 1 rejects and e."""
 
     def step(keys, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        recent = list(state.get[0]) if state.exists else []
-        for pdf in frames:
-            pdf = pdf.sort_values(at)
-            alarms = []
-            for s in pdf[score]:
-                recent = (recent + [int(s < threshold)])[-n:]
-                alarms.append(sum(recent) >= k)
-            yield pd.DataFrame({key: keys[0], at: pdf[at], "alarm": alarms})
-        state.update((recent[-(n - 1) :] if n > 1 else [],))
+        recent, e = (list(state.get[0]), state.get[1]) if state.exists else ([], 0.0)
+        pdf = _whole(frames, at)
+        rejects = (pdf[score] < threshold).to_numpy(int)
+        joined = np.concatenate((np.array(recent, int), rejects))
+        sums = np.concatenate(([0], np.cumsum(joined)))
+        ends = np.arange(len(recent), len(joined)) + 1
+        alarms = sums[ends] - sums[np.maximum(ends - n, 0)] >= k
+        averages = []
+        for r in rejects.tolist():
+            e = alpha * r + (1 - alpha) * e
+            averages.append(e > 0.5)
+        state.update((joined[len(joined) - min(n - 1, len(joined)) :].tolist(), e))
+        yield pd.DataFrame({key: keys[0], at: pdf[at], "alarm": alarms, "ewma_alarm": averages})
 
     kind = dict(scores.dtypes)
-    return scores.select(key, at, score).groupBy(key).applyInPandasWithState(step, f"{key} {kind[key]}, {at} {kind[at]}, alarm boolean", "recent array<int>", "append", GroupStateTimeout.NoTimeout)
+    out = f"{key} {kind[key]}, {at} {kind[at]}, alarm boolean, ewma_alarm boolean"
+    return scores.select(key, at, score).groupBy(key).applyInPandasWithState(step, out, "recent array<int>, e double", "append", GroupStateTimeout.NoTimeout)
+
+
+def live_windows(samples: DataFrame, key: str, at: str, gap: int, size: int, stride: int) -> DataFrame:
+    """A stream of (key, at, segment, rel, first_window, last_window): sessions part where samples are more than `gap`
+    apart, and windows of `size` every `stride` run from a session's first sample. The state of a key is the number,
+    start and last time of its session, whatever the stream's length; late samples count to the session that is open."""
+
+    def step(keys, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        pdf = _whole(frames, at)
+        t = pdf[at].to_numpy(np.int64)
+        segment, start, last = state.get if state.exists else (0, int(t[0]), int(t[0]))
+        breaks = np.diff(np.concatenate(([last], t))) > gap
+        segments = segment + np.cumsum(breaks)
+        starts = np.where(breaks, t, np.int64(start))
+        opened = np.maximum.accumulate(np.where(breaks, np.arange(len(t)), -1))
+        starts = np.where(opened >= 0, t[np.maximum(opened, 0)], np.int64(start))
+        rel = np.maximum(t - starts, 0)
+        state.update((int(segments[-1]), int(starts[-1]), int(max(last, t[-1]))))
+        yield pd.DataFrame({key: keys[0], at: t, "segment": segments, "rel": rel, "first_window": np.maximum(0, (rel - size) // stride + 1), "last_window": rel // stride})
+
+    kind = dict(samples.dtypes)
+    out = f"{key} {kind[key]}, {at} bigint, segment bigint, rel bigint, first_window bigint, last_window bigint"
+    return samples.select(key, F.col(at).cast("bigint").alias(at)).groupBy(key).applyInPandasWithState(step, out, "segment bigint, start bigint, last bigint", "append", GroupStateTimeout.NoTimeout)
 
 
 def windowed_counts(events: DataFrame, at: str, kind: str, size: str, slide: str, late: str) -> DataFrame:
     """Counts by kind in event-time windows; rows later than the watermark drop out."""
     return events.withWatermark(at, late).groupBy(F.window(at, size, slide), kind).agg(F.count(F.lit(1)).alias("n"))
+
+
+def session_counts(events: DataFrame, at: str, key: str, gap: str, late: str) -> DataFrame:
+    """Rows by event-time session of a key; rows later than the watermark drop out."""
+    return events.withWatermark(at, late).groupBy(F.session_window(at, gap), key).agg(F.count(F.lit(1)).alias("n"))

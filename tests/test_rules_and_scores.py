@@ -121,17 +121,15 @@ def test_duplicates_and_conflicts(spark):
 
 
 def test_streaming_ingest(spark, tmp_path):
-    from loomstead.streaming.pipelines import ingest_envelopes
+    from loomstead.streaming.pipelines import ingest_envelopes, outcome_counters
 
     batch = {"device_id": "a" * 64, "batch_id": "00000000-0000-4000-8000-000000000001", "started_at_wall_millis": 1710000000000, "x": 1}
-    texts = [json.dumps(batch), json.dumps(batch), json.dumps(batch | {"x": 2}), json.dumps(batch | {"device_id": "c" * 64})]
+    texts = [json.dumps(batch), json.dumps(batch, sort_keys=True, indent=1), json.dumps(batch | {"x": 2}), json.dumps(batch | {"device_id": "c" * 64})]
     (tmp_path / "in").mkdir()
     for i, t in enumerate(texts):
         (tmp_path / "in" / f"{i}.json").write_text(json.dumps(envelope(t.encode(), created_at_wall_millis=i)))
     schema = "algorithm string, payload_base64 string, payload_sha256_hex string, device_id string, batch_id string, rule_version string, rule_hash string, created_at_wall_millis bigint"
-    from pyspark.sql.types import StructType
-
-    inner = StructType.fromDDL("device_id string, batch_id string, started_at_wall_millis bigint, x bigint")
+    inner = "device_id string, batch_id string, started_at_wall_millis bigint, x bigint"
     for run in ("one", "two"):  # the second stream brings the same envelopes again
         stream = spark.readStream.schema(schema).json(str(tmp_path / "in"))
         ingest_envelopes(stream, inner, F.col("batch.x").isNotNull(), str(tmp_path / "out"), str(tmp_path / run)).awaitTermination(60)
@@ -139,6 +137,60 @@ def test_streaming_ingest(spark, tmp_path):
     assert len(stored) == 1 and str(stored[0].day) == "2024-03-09" and json.loads(stored[0].plain)["x"] == 1
     reasons = sorted(r.reason for r in spark.read.parquet(str(tmp_path / "out" / "errors")).collect())
     assert reasons == ["duplicate_batch_id_conflict"] * 2 + ["envelope_batch_device_id_mismatch"] * 2
+    assert stored[0].decompressed_size_bytes == len(texts[0]) and len(stored[0].request_id) == 64
+    rows = lambda name: spark.read.parquet(str(tmp_path / "out" / name))
+    assert rows("idx_devices").count() == rows("idx_batches").count() == 1
+    assert [(r.reason, r.top_keys) for r in rows("quarantine").collect()] == [("envelope_batch_device_id_mismatch", ["batch_id", "device_id", "started_at_wall_millis", "x"])] * 2
+    counts = {(r.event, r.status): r.n for r in outcome_counters(rows("log")).collect()}
+    assert counts == {("stored", 200): 1, ("duplicate", 200): 3, ("duplicate_batch_id_conflict", 409): 2, ("envelope_batch_device_id_mismatch", 400): 2}
+
+
+def test_a_replayed_micro_batch_changes_nothing(spark, tmp_path):
+    from loomstead.streaming.pipelines import fan_out
+
+    text = json.dumps({"device_id": "a" * 64, "batch_id": "00000000-0000-4000-8000-000000000001", "started_at_wall_millis": 1710000000000, "x": 1})
+    micro = spark.createDataFrame([envelope(text.encode())])
+    inner = "device_id string, batch_id string, started_at_wall_millis bigint, x bigint"
+    for _ in range(2):
+        fan_out(micro, 7, inner, str(tmp_path), F.lit(True))
+    assert {n: spark.read.parquet(str(tmp_path / n)).count() for n in ("batches", "log", "errors", "idx_batches")} == {"batches": 1, "log": 1, "errors": 0, "idx_batches": 1}
+
+
+def run_stream(spark, tmp_path, frame, schema, build):
+    for i, part in enumerate(frame):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = build(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    out.awaitTermination(120)
+    return spark.read.parquet(str(tmp_path / "out"))
+
+
+def test_live_detection_over_micro_batches(spark, tmp_path):
+    from loomstead.streaming.pipelines import live_detection
+
+    rng = np.random.default_rng(5)
+    scores = {k: rng.random(30) for k in "ab"}
+    parts = [[(k, i, float(scores[k][i])) for k in "ab" for i in rng.permutation(np.arange(lo, lo + 10)).tolist()] for lo in (0, 10, 20)]
+    got = run_stream(spark, tmp_path, parts, "k string, t bigint, s double", lambda d: live_detection(d, "k", "t", "s", 0.5, 2, 3)).collect()
+    for k in "ab":
+        rejects, e = (scores[k] < 0.5).astype(int), 0.0
+        rows = sorted((r for r in got if r.k == k), key=lambda r: r.t)
+        assert [r.t for r in rows] == list(range(30))
+        for i, r in enumerate(rows):
+            e = 0.5 * rejects[i] + 0.5 * e
+            assert r.alarm == (rejects[max(0, i - 2) : i + 1].sum() >= 2) and r.ewma_alarm == (e > 0.5)
+
+
+def test_live_windows_over_micro_batches(spark, tmp_path):
+    from loomstead.streaming.pipelines import live_windows
+
+    times = [0, 5, 9, 12, 40, 43, 44, 90]
+    parts = [[("a", t) for t in times[:3]], [("a", t) for t in times[3:6][::-1]], [("a", t) for t in times[6:]]]
+    got = sorted(run_stream(spark, tmp_path, parts, "k string, t bigint", lambda d: live_windows(d, "k", "t", 10, 5, 2)).collect(), key=lambda r: r.t)
+    starts = [0, 0, 0, 0, 40, 40, 40, 90]
+    assert [(r.segment, r.rel) for r in got] == [({0: 0, 40: 1, 90: 2}[s], t - s) for t, s in zip(times, starts)]
+    for r in got:  # window w covers [2 w, 2 w + 5)
+        assert [w for w in range(60) if 2 * w <= r.rel < 2 * w + 5] == list(range(r.first_window, r.last_window + 1))
 
 
 def test_roc_points_are_those_of_a_rounded_linspace(spark):
