@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass may hold (its int64 arrays take eight times as much).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 #: White space of the word rule `[^\x20\x09-\x0D]+` as a Java/RE2 character class.
 SPACE_CLASS = "[ \\t-\\r]"

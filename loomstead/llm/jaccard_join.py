@@ -41,8 +41,8 @@ SHINGLE, NUM, DEN = 4, 85, 100
 #: Ratio of a band's sizes, group size up to which all pairs are candidates, rows of one numpy pass over groups.
 RATIO, SMALL, ROWS = 1.5, 3, 1 << 18
 
-#: Levels of shingle frequency, by powers of four, that rule out pairs of large groups.
-LEVELS = 8
+#: Levels of shingle frequency, by powers of four, that rule out pairs of large groups; bits of a folded parity sketch.
+LEVELS, FOLD = 8, 512
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -133,12 +133,12 @@ def _set_hash(elements: np.ndarray) -> tuple[int, int]:
 
 
 def sketch(elements: np.ndarray) -> np.ndarray:
-    """Parity sketch of a set: every element flips one of half as many bits (256 at least, a power of two).
+    """Parity sketch of a set: every element flips one of two to four times as many bits (FOLD at least, a power of two).
 
     Two sketches, the longer folded, differ in no more bits than the sets differ in elements, so a pair whose
     sketches differ in more than its sets may is ruled out exactly.
     """
-    bits = max(256, 1 << (len(elements) // 2).bit_length())
+    bits = max(FOLD, 1 << (2 * len(elements)).bit_length())
     flips = np.bincount(((elements >> np.uint64(8)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64)
 
@@ -151,16 +151,20 @@ def sketch_distance(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def set_info(docs: DataFrame, k: int) -> DataFrame:
-    """(id, n, c1, c2, sketch): size, 128-bit hash and parity sketch of every row's shingle set."""
+    """(id, n, c1, c2, sketch, fold): size, 128-bit hash and parity sketch of every row's shingle set, and the sketch
+    folded to FOLD bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            found = [(len(s), *_set_hash(s), sketch(s)) for s in shingle_sets(part.column(1), k)]
-            kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())]
+            found = []
+            for s in shingle_sets(part.column(1), k):
+                bits = sketch(s)
+                found.append((len(s), *_set_hash(s), bits, np.bitwise_xor.reduce(bits.reshape(-1, FOLD // 64), axis=0)))
+            kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2
             columns = [pa.array(list(c), kind) for c, kind in zip(zip(*found), kinds)]
-            yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["id", "n", "c1", "c2", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["id", "n", "c1", "c2", "sketch", "fold"])
 
-    return docs.mapInArrow(run, "id bigint, n bigint, c1 bigint, c2 bigint, sketch array<bigint>")
+    return docs.mapInArrow(run, "id bigint, n bigint, c1 bigint, c2 bigint, sketch array<bigint>, fold array<bigint>")
 
 
 def _index(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -298,18 +302,22 @@ def _unresolved(members: DataFrame, labels: DataFrame, names: DataFrame, docs: D
     """Pairs (a, b) of members of one large group that are in different components and that counts do not rule out.
 
     Shingles that one of the unresolved sets alone holds are in no other; of those of each level of frequency two
-    sets differ in no fewer than their counts do. Where that alone is more than linked sets may differ in, the pair
-    is left out by the join's condition. A pair that meets under several keys comes from the smallest of them.
+    sets differ in no fewer than their counts do; nor do they in fewer than their folded sketches. Where that is more
+    than linked sets may differ in, the pair is left out by the join's condition. A pair that meets under several keys
+    comes from the smallest of them.
     """
     classes = members.join(names.select("id", "rep"), "id").select("key", F.col("rep").alias("id")).distinct()
+    folds = names.select("id", *[F.col("fold")[i].alias(f"s{i}") for i in range(FOLD // 64)])
     named = classes.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
     split = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     left = cut(named.join(split, "key"))
     known = _profiles(docs, left.select("id").distinct(), k).join(left.groupBy("id").agg(F.collect_set("key").alias("keys")), "id")
-    left = cut(left.join(known, "id"))
+    left = cut(left.join(known, "id").join(folds, "id"))
     x, y = left.alias("x"), left.alias("y")
     levels = " + ".join(["x.f0 + y.f0", *(f"abs(x.f{i} - y.f{i})" for i in range(1, LEVELS))])
-    near = f"coalesce({levels} <= floor((x.n + y.n) * {den - num} / {den + num}), true)"
+    bits = " + ".join(f"bit_count(x.s{i} ^ y.s{i})" for i in range(FOLD // 64))
+    most = f"floor((x.n + y.n) * {den - num} / {den + num})"
+    near = f"coalesce({levels} <= {most}, true) AND coalesce({bits} <= {most}, true)"
     meet = x.join(y, F.expr(f"x.key = y.key AND x.id < y.id AND x.label <> y.label AND {near} AND array_min(array_intersect(x.keys, y.keys)) = x.key"))
     return meet.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
@@ -343,10 +351,10 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", text: str = "text", k: i
     info = cut(set_info(docs, k))
     whole = info.where("n > 0 AND id IS NOT NULL")
     classes = whole.groupBy("c1", "c2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    known = cut(whole.join(classes, ["c1", "c2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"), "sketch"))
+    known = cut(whole.join(classes, ["c1", "c2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"), "sketch", "fold"))
     equal = known.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     # an id of several rows stands for itself, whatever classes they are in
-    names = known.groupBy("id").agg(F.when(F.count(F.lit(1)) == 1, F.min("rep")).otherwise(F.col("id")).alias("rep"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.when(F.count(F.lit(1)) == 1, F.first("sketch")).alias("sketch"))
+    names = known.groupBy("id").agg(F.when(F.count(F.lit(1)) == 1, F.min("rep")).otherwise(F.col("id")).alias("rep"), F.min("n").alias("lo"), F.max("n").alias("hi"), *[F.when(F.count(F.lit(1)) == 1, F.first(c)).alias(c) for c in ("sketch", "fold")])
     docs = docs.where("id IS NOT NULL")
     found = cut(_candidates(_index(docs, k, num, den)).distinct())
     pairs = cut(_canonical(found.where("kind = 0").select("a", "b"), names, num, den))
