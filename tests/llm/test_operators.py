@@ -62,6 +62,7 @@ ALL = {
     "jaccard": lambda d: jaccard_join.jaccard_components(d),
     "one_of_each": lambda d: jaccard_join.one_of_each(d),
     "encode": lambda d: piece_sampling.encode(d),
+    "main_text": lambda d: page_wrappers.main_text(d, "doc_id", "source", "text"),
     "media": lambda d: media_columns.media_columns(d),
     "quality_rules": lambda d: quality_rules.quality_rules(d),
     "keep_good": lambda d: quality_rules.keep_good(d),
@@ -285,8 +286,89 @@ def test_copies_of_a_page_are_no_template(spark):
 def test_page_nesting_beyond_the_limit():
     deep = "<div>" * 70 + "deep<nav>menu<div>more menu</div></nav>text" + "</div>" * 70
     page = f"<body><div class=wrap><article><p>first</p>{deep}<p>last</p></article></div><p>outside</p></body>"
-    assert page_wrappers.extract(page, set(), "") == "first\ndeep\ntext\nlast"
-    assert page_wrappers.extract("<div>" * 70 + "a<p>b<p>c<div>d</div>e", set(), "") == "a\nb\nc\nd\ne"
+    assert text_of(page) == "first\ndeep\ntext\nlast"
+    assert text_of("<div>" * 70 + "a<p>b<p>c<div>d</div>e") == "a\nb\nc\nd\ne"
+
+
+def text_of(page):
+    """A page for itself: what it marks as its main part, else all blocks."""
+    text, blocks = page_wrappers.read_page(page)
+    return "\n".join(b.words for b in blocks) if text is None else text
+
+
+def texts_of(spark, pages, parts=None):
+    frame = spark.createDataFrame([(i, f"http://{host}.example.org/{i}", page) for i, (host, page) in enumerate(pages)], "page_id bigint, url string, html string")
+    return {r.page_id: r.text for r in page_wrappers.main_text(frame.repartition(parts) if parts else frame).collect()}
+
+
+def test_articles_keep_what_names_and_templates_speak_against(spark):
+    assert text_of('<article><h1>T</h1><p class="notice">one</p><div id="search-results">two</div><span class="share-price">three</span></article>') == "T\none\ntwo\nthree"
+    assert text_of('<body><div id="menu-item-text">only text</div></body>') == "only text"
+    assert text_of('<body><div class="menu">only text</div></body>') == "only text"
+    assert text_of("<main><p>intro</p><article>card</article><p>body</p></main>") == "intro\ncard\nbody"
+    assert text_of('<body><main><p>story</p></main><article class="comment">first!</article></body>') == "story"
+    assert text_of('<body><article><p>story</p><section class="comments-area"><article class="comment"><p>long reply</p></article></section></article></body>') == "story"
+    assert text_of('<article>a<span class="ad">b<span>c</span>d</span>e</article>') == "ae"
+    assert text_of("<html><head><title>never closed</head><body><article>text</article></body></html>") == "text"
+    assert text_of('<article><p>a<span class="ad">never closed</p><p>b</p></article>') == "anever closed\nb"
+    shared = "<article><h2>Summary</h2><p>One story in all pages</p></article>"
+    assert set(texts_of(spark, [("s", f"<body><ul class=m><li>menu {i}<li>menu {i + 1}</ul>{shared}</body>") for i in range(4)]).values()) == {"Summary\nOne story in all pages"}
+
+
+def test_broken_tags_take_linear_time():
+    import time
+
+    for broken in ("<a " * 100_000, '<a title="' * 30_001, "<textarea>" * 30_000, '<span class="ad">' * 30_000, "<!-- " * 50_000, '<p a=\'">' * 30_001):
+        began = time.time()
+        page_wrappers.read_page(broken)
+        assert time.time() - began < 6
+
+
+def plain_host(seed, n=9):
+    """Pages of a host without a marked article: a menu, an optional banner, a legal text longer than the stories, links that vary."""
+    rng = random.Random(seed)
+    words = lambda k: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(k))
+    legal, menu = words(150), "".join(f"<li><a href=/{i}>{words(1)}</a></li>" for i in range(5))
+    pages, wanted = [], []
+    for i in range(n):
+        paragraphs = [words(rng.randint(8, 30)) for _ in range(rng.randint(1, 5))]
+        banner = f"<div>{words(3)}</div>" if i % 3 == 0 else ""
+        more = "".join(f"<li><a href=/x>{words(4)}</a></li>" for _ in range(12))
+        pages.append(f"<body><div><ul>{menu}</ul></div>{banner}<div><h1>Story {i}</h1><h2>Summary</h2>{''.join(f'<p>{p}</p>' for p in paragraphs)}<div>Share this<ul><li>One</li><li>Two</li></ul></div></div><div><ul>{more}</ul></div><div>{legal}</div></body>")
+        wanted.append("\n".join([f"Story {i}", "Summary", *paragraphs]))
+    return pages, wanted
+
+
+def test_wrappers_find_the_main_part_of_unmarked_pages(spark):
+    for seed in range(3):
+        pages, wanted = plain_host(seed)
+        got = texts_of(spark, [("w", p) for p in pages])
+        assert [got[i] for i in range(len(pages))] == wanted
+    # without other pages of the host there is no wrapper
+    assert texts_of(spark, [("w", pages[0])])[0].endswith(pages[0].split("<div>")[-1].split("<")[0])
+
+
+def test_wrappers_do_not_depend_on_order_or_partitions(spark):
+    rng = random.Random(8)
+    pages = [("w", p) for p in plain_host(1)[0]] + [("v", f"<div><p>{rng.choice('abc')}</p>{'<ul><li>x</ul>' * rng.randint(0, 2)}<p>{i % 4}</p></div>") for i in range(20)]
+    one = texts_of(spark, pages)
+    assert one == texts_of(spark, pages, 1) == texts_of(spark, pages, 7)
+    shuffled = list(enumerate(pages))
+    rng.shuffle(shuffled)
+    again = texts_of(spark, [p for _, p in shuffled])
+    assert {i: again[j] for j, (i, _) in enumerate(shuffled)} == one
+
+
+def test_pages_without_their_article_tags(spark):
+    """The tables' pages with plain elements for article, nav, footer and adverts, so that nothing but the wrapper can tell."""
+    frame = spark.read.parquet(f"{DATA}/pages.parquet")
+    bare = frame.withColumn("html", F.regexp_replace(F.regexp_replace("html", "<(/?)(?:article|nav|footer)>", "<$1div>"), '<div class="ad">', "<div>"))
+    truth = {r.page_id: r.text for r in page_wrappers.main_text(frame).collect()}
+    hosts = Counter(r.url.split("/")[2] for r in frame.collect())
+    known = {r.page_id for r in frame.collect() if hosts[r.url.split("/")[2]] >= 6}
+    got = {r.page_id: r.text for r in page_wrappers.main_text(bare).collect()}
+    assert all(truth[i] in got[i] for i in got)  # no article text goes
+    assert not known or sum(got[i] == truth[i] for i in known) >= 0.9 * len(known)
 
 
 def test_pages_of_the_tables_match_their_markup(spark):
