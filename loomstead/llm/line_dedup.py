@@ -1,13 +1,15 @@
-"""Line dedup (operator 1): documents that share rare lines are aligned by patience diff; the later one loses
+"""Line dedup (operator 1): documents that share rare line hashes are aligned by patience diff; the later one loses
 the aligned common blocks.
 
-Lines travel as 64-bit hashes with their lengths, so alignment moves a few bytes a line and no text. A
-line that up to RARE documents hold pairs all of them; a line that more documents hold pairs each with its
-first holder only. Runs of lines that just reach MIN_CHARS pair documents in the same way, so that a block of
-frequent lines meets an earlier document that holds it whole, whoever holds its lines first. Runs that are
-shortest from a line on and shortest up to a line cover every block, and pairs stay linear in the lines. A pair is aligned in rounds: patience diff on what is not aligned yet, until nothing more aligns, so
-blocks that moved are found too. Blocks of MIN_CHARS characters or more go from the document with the larger
-key; shorter ones stay. What a document loses is judged on the input, so the first holder keeps its lines.
+A block that is worth deleting has MIN_CHARS characters. Single lines are often frequent (menus, licence lines), runs of
+lines are not, so the hashes that pair documents are those of the shortest runs of lines that reach MIN_CHARS, from each
+line on and up to each line; such runs cover every block. A document meets the first holder of each of its runs,
+so pairs stay linear in the lines, and whatever earlier document holds a block, all its runs have been met. Lines
+travel as 64-bit hashes with their lengths, and only those inside shared runs do: a long document that shares one
+passage with many sends that passage. A pair is aligned in rounds: patience diff on what is not aligned yet, until
+nothing more aligns; what no alignment in order can reach (moved or repeated blocks) is found by a last look at the
+runs of both. So the result does not depend on how often a line occurs: a document loses exactly the runs of
+MIN_CHARS characters or more that an earlier document (by key) holds as well, judged on the input.
 
 Defined results: a null text counts as empty; blank lines never pair documents but belong to blocks around
 them; rows with equal key and equal text are one document and lose the same lines; of rows with equal key
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import cut, prefix_sums, span_hashes
 from .text_stats import SPACES
 
-#: Documents that may hold a rare line; characters that a block needs to be deleted.
-RARE, MIN_CHARS = 4, 60
+#: Characters that a block needs to be deleted.
+MIN_CHARS = 60
 
 
 def _increasing(values: list[int]) -> list[int]:
@@ -95,10 +97,25 @@ def _numbered(lines: list) -> list[tuple]:
     return out
 
 
-def common_blocks(a: list[int], b: list[int], sizes: list[int], least: int) -> list[int]:
-    """Positions of a inside aligned blocks of `least` characters or more; sizes are those of a's lines."""
+def shortest_runs(sizes: np.ndarray, solid: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the runs of lines that are the shortest with `least` characters from their first line on or up to
+    their last; runs of blank lines only are left out."""
+    n = len(sizes)
+    chars, full = np.concatenate(([0], np.cumsum(sizes))), np.concatenate(([0], np.cumsum(solid)))
+    at = np.arange(n)
+    ends = np.searchsorted(chars, chars[:-1] + least, side="left")  # the smallest end with so many characters
+    begins = np.searchsorted(chars, chars[1:] - least, side="right") - 1  # the largest begin
+    start, end = np.concatenate((at[ends <= n], begins[begins >= 0])), np.concatenate((ends[ends <= n], at[begins >= 0] + 1))
+    keep = (end > start) & (full[end] > full[start])
+    both = np.unique(np.stack((start[keep], end[keep]), axis=1), axis=0)
+    return both[:, 0], both[:, 1]
+
+
+def common_blocks(a: list, b: list, sizes: list[int], solid: list[bool], least: int) -> list[int]:
+    """Positions of a inside blocks of `least` characters or more that b holds too; sizes and solid are those of a's
+    lines. Aligned blocks first, then the runs that no alignment in order reaches."""
     left_a, left_b = list(range(len(a))), list(range(len(b)))
-    drop: list[int] = []
+    drop: set[int] = set()
     numbered = False
     while left_a and left_b:
         lines_a, lines_b = [a[i] for i in left_a], [b[j] for j in left_b]
@@ -114,29 +131,24 @@ def common_blocks(a: list[int], b: list[int], sizes: list[int], least: int) -> l
         for k, (i, j) in enumerate(found):
             run.append(i)
             if k + 1 == len(found) or found[k + 1] != (i + 1, j + 1):
-                if sum(sizes[x] for x in run) >= least:
-                    drop += run
+                if sum(sizes[x] for x in run) >= least and any(solid[x] for x in run):
+                    drop.update(run)
                 run = []
         used_a, used_b = {i for i, _ in found}, {j for _, j in found}
         left_a, left_b = [i for i in left_a if i not in used_a], [j for j in left_b if j not in used_b]
+    starts, ends = shortest_runs(np.array(sizes), np.array(solid, bool), least)
+    open_ = [(i, j) for i, j in zip(starts.tolist(), ends.tolist()) if not drop.issuperset(range(i, j))]
+    if open_:
+        lengths = {j - i for i, j in open_}
+        held = {n: {tuple(b[i : i + n]) for i in range(len(b) - n + 1)} for n in lengths}
+        for i, j in open_:
+            if tuple(a[i:j]) in held[j - i]:
+                drop.update(range(i, j))
     return sorted(drop)
 
 
-def run_keys(lines: np.ndarray, sizes: np.ndarray, solid: np.ndarray, least: int) -> np.ndarray:
-    """Hashes of a document's runs of two lines or more that are the shortest with `least` characters from their first
-    line on or up to their last; runs of blank lines only are left out."""
-    n = len(lines)
-    chars, full = np.concatenate(([0], np.cumsum(sizes))), np.concatenate(([0], np.cumsum(solid)))
-    at = np.arange(n)
-    ends = np.searchsorted(chars, chars[:-1] + least, side="left")  # the smallest end with so many characters
-    begins = np.searchsorted(chars, chars[1:] - least, side="right") - 1  # the largest begin
-    start, end = np.concatenate((at[ends <= n], begins[begins >= 0])), np.concatenate((ends[ends <= n], at[begins >= 0] + 1))
-    keep = (end - start >= 2) & (full[end] > full[start])
-    return np.unique(span_hashes(prefix_sums(lines.view(np.uint64)), start[keep], end[keep])).view(np.int64)
-
-
 def _keys(sequences: DataFrame, least: int) -> DataFrame:
-    """(rid, h): hashes of each document's lines that are not blank, and of its runs."""
+    """(rid, h, start, end): the runs of each document that pair it with others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,48 +156,80 @@ def _keys(sequences: DataFrame, least: int) -> DataFrame:
                 continue
             lines, sizes, solid = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (1, 2, 3))
             bounds = np.concatenate(([0], np.cumsum([len(x) for x in batch.column(1)])))
-            found = []
+            found, counts = [], []
             for a, b in zip(bounds[:-1], bounds[1:]):
-                found.append(np.concatenate((np.unique(lines[a:b][solid[a:b]]), run_keys(lines[a:b], sizes[a:b], solid[a:b], least))))
-            at = np.repeat(np.arange(batch.num_rows), [len(x) for x in found])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.concatenate(found), pa.int64())], names=["rid", "h"])
+                start, end = shortest_runs(sizes[a:b], solid[a:b], least)
+                hashes = span_hashes(prefix_sums(lines[a:b].view(np.uint64)), start, end).view(np.int64)
+                found.append(np.stack((hashes, start, end)))
+                counts.append(len(start))
+            rid = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), counts)))
+            h, start, end = np.concatenate(found, axis=1)
+            yield pa.RecordBatch.from_arrays([rid, pa.array(h), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["rid", "h", "start", "end"])
+
+    return sequences.select("rid", "lines", "sizes", "solid").mapInArrow(run, "rid struct<id: bigint, th: bigint>, h bigint, start int, end int")
 
-    return sequences.select("rid", "lines", "sizes", "solid").mapInArrow(run, "rid struct<id: bigint, th: bigint>, h bigint")
 
+def _shared(sequences: DataFrame, covered: DataFrame) -> DataFrame:
+    """(rid, at, lines, sizes, solid): the lines of a document that lie in shared runs, and their positions."""
+    inside = sequences.join(covered, "rid")
 
-def _pairs(sequences: DataFrame, rare: int, least: int) -> DataFrame:
-    """(late, early): documents to align."""
-    lines = _keys(sequences, least)
-    held = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("early")).where("n > 1")
-    known = cut(lines.join(held, "h"))
-    often = known.where(f"n > {rare}").select(F.col("rid").alias("late"), "early").where("late <> early")
-    few = known.where(f"n <= {rare}").select("h", "rid")
-    both = few.select("h", F.col("rid").alias("late")).join(few.select("h", F.col("rid").alias("early")), "h").where("early < late").select("late", "early")
-    return often.union(both).distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["rid", "at", "lines", "sizes", "solid"]
+        kinds = [pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_())]
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for i in range(batch.num_rows):
+                columns = [batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (1, 2, 3)]
+                depth = np.zeros(len(columns[0]) + 1, np.int32)
+                spans = batch.column(4)[i].values
+                np.add.at(depth, spans.field(0).to_numpy(), 1)
+                np.add.at(depth, spans.field(1).to_numpy(), -1)
+                at = np.flatnonzero(np.cumsum(depth[:-1]) > 0)
+                for held, column in zip(out, (at, *(c[at] for c in columns))):
+                    held.append(column)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds))], names=names)
 
+    return inside.select("rid", "lines", "sizes", "solid", "spans").mapInArrow(run, "rid struct<id: bigint, th: bigint>, at array<int>, lines array<bigint>, sizes array<int>, solid array<boolean>")
 
-def removed_lines(sequences: DataFrame, rare: int = RARE, least: int = MIN_CHARS) -> DataFrame:
+
+def removed_lines(sequences: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     """(rid, gone): the positions that each document loses, for those that lose any."""
 
+    def parted(at: list[int], *columns: list) -> tuple[list, ...]:
+        """The lines with something that equals nothing else between those that do not follow each other."""
+        out: tuple[list, ...] = ([], *([] for _ in columns))
+        for i, p in enumerate(at):
+            if i and at[i - 1] + 1 != p:
+                for held, gap in zip(out, (-1, (object(),), 0, False)):
+                    held.append(gap)
+            for held, value in zip(out, (p, *(c[i] for c in columns))):
+                held.append(value)
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            late, early, sizes = (batch.column(i) for i in (1, 2, 3))
             found, at = [], []
             for i in range(batch.num_rows):
-                drop = common_blocks(late[i].values.to_pylist(), early[i].values.to_pylist(), sizes[i].values.to_pylist(), least)
+                late_at, late, sizes, solid, early_at, early = (batch.column(c)[i].values.to_pylist() for c in range(1, 7))
+                places, a, sizes, solid = parted(late_at, late, sizes, solid)
+                drop = [places[x] for x in common_blocks(a, parted(early_at, early)[1], sizes, solid, least)]
                 found += drop
                 at += [i] * len(drop)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.array(at, np.int64))), pa.array(found, pa.int32())], names=["rid", "gone"])
 
-    pairs = _pairs(sequences, rare, least)
-    late = sequences.select(F.col("rid").alias("late"), F.col("lines").alias("late_lines"), "sizes")
-    early = sequences.select(F.col("rid").alias("early"), F.col("lines").alias("early_lines"))
-    aligned = pairs.join(late, "late").join(early, "early").select("late", "late_lines", "early_lines", "sizes")
+    keys = _keys(sequences, least)
+    held = keys.groupBy("h").agg(F.min("rid").alias("early"), F.max("rid").alias("last")).where("early < last").select("h", "early")
+    known = cut(keys.join(held, "h"))
+    parts = cut(_shared(sequences, known.groupBy("rid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))))
+    pairs = known.where("early < rid").select(F.col("rid").alias("late"), "early").distinct()
+    late = parts.select(F.col("rid").alias("late"), F.col("at").alias("late_at"), F.col("lines").alias("late_lines"), "sizes", "solid")
+    early = parts.select(F.col("rid").alias("early"), F.col("at").alias("early_at"), F.col("lines").alias("early_lines"))
+    aligned = pairs.join(late, "late").join(early, "early").select("late", "late_at", "late_lines", "sizes", "solid", "early_at", "early_lines")
     gone = aligned.mapInArrow(run, "rid struct<id: bigint, th: bigint>, gone int")
     return gone.groupBy("rid").agg(F.collect_set("gone").alias("gone"))
 
 
-def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", rare: int = RARE, least: int = MIN_CHARS) -> DataFrame:
+def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = MIN_CHARS) -> DataFrame:
     """All columns as they were, the text without the removed lines, and _n_lines, _n_removed (bigint).
 
     The removed lines' text goes with one line feed each; other text is untouched.
@@ -200,7 +244,7 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", rare: i
         F.transform("parts", lambda x: F.btrim(x, F.lit(SPACES)) != "").alias("solid"),
     )
     sequences = cut(sequences.dropDuplicates(["rid"]))
-    gone = removed_lines(sequences, rare, least)
+    gone = removed_lines(sequences, least)
     columns = [F.col(f"_row.`{c}`") for c in docs.columns]
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), rid.alias("rid"))
     whole = held.join(gone, "rid", "left")

@@ -84,27 +84,45 @@ def test_clashing_columns_change_nothing(docs, clash, name):
         assert rows(plain) == rows(odd)
 
 
-def test_line_dedup_by_brute_force(docs):
-    rows = [r for r in docs.collect()]
-    key = lambda r: (r.doc_id is not None, r.doc_id or 0)
-    lines = {r.doc_id: (r.text or "").split("\n") for r in rows}
-    held = defaultdict(list)
-    for r in sorted(rows, key=key):
-        for x in set(lines[r.doc_id]):
-            if x.strip(" \t\n\x0b\x0c\r"):
-                held[x].append(r.doc_id)
-    partners = defaultdict(set)
-    for ids in held.values():
-        for n, i in enumerate(ids):
-            partners[i] |= {j for j in ids[:n] if len(ids) <= line_dedup.RARE or j == ids[0]}
-    for r in line_dedup.line_dedup(docs).collect():
-        mine = lines[r.doc_id]
+def lines_to_go(texts):
+    """By the rule alone: positions inside common runs of 60 characters or more with an earlier text (texts in order)."""
+    lines = [(t or "").split("\n") for t in texts]
+    out = []
+    for n, mine in enumerate(lines):
         gone = set()
-        for j in partners[r.doc_id]:
-            gone |= set(line_dedup.common_blocks(mine, lines[j], [len(x) for x in mine], line_dedup.MIN_CHARS))
-        if r.text is not None:
-            assert r.text == "\n".join(x for i, x in enumerate(mine) if i not in gone)
-        assert r._n_removed == len(gone)
+        for other in lines[:n]:
+            for i in range(len(mine)):
+                for j in range(len(other)):
+                    k = 0
+                    while i + k < len(mine) and j + k < len(other) and mine[i + k] == other[j + k]:
+                        k += 1
+                    block = mine[i : i + k]
+                    if sum(map(len, block)) >= 60 and any(x.strip(" \t\n\x0b\x0c\r") for x in block):
+                        gone |= set(range(i, i + k))
+        out.append(gone)
+    return out
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_line_dedup_by_brute_force(spark, docs, seed):
+    rows = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
+    texts = [(r.doc_id, r.text) for r in rows]
+    rng = random.Random(seed)
+    pool = ["", " ", *(c * n for c in "abcdef" for n in (5, 25, 40, 70))]
+    texts += [(100 + i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 14)))) for i in range(60)]
+    frame = spark.createDataFrame(texts, "doc_id bigint, text string")
+    out = {r.doc_id: r for r in line_dedup.line_dedup(frame).collect()}
+    for (i, text), gone in zip(texts, lines_to_go([t for _, t in texts])):
+        assert out[i]._n_removed == len(gone)
+        if text is not None:
+            assert out[i].text == "\n".join(x for n, x in enumerate(text.split("\n")) if n not in gone)
+
+
+def test_line_dedup_of_two_frequent_lines(spark):
+    a, b = "first line of the block " + "a" * 12, "second line of the block " + "b" * 12
+    texts = [a, b] + [f"{a}\n{b}"] * 6
+    out = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert [out[i] for i in range(8)] == texts[:3] + [""] * 5
 
 
 def test_line_dedup_finds_blocks_of_frequent_lines(spark):
@@ -121,19 +139,19 @@ def test_runs_cover_every_block():
     rng = np.random.default_rng(3)
     for _ in range(200):
         n = int(rng.integers(1, 30))
-        lines, sizes = rng.integers(-(1 << 60), 1 << 60, n), rng.integers(0, 40, n)
-        solid = sizes > 0
-        whole = set(line_dedup.run_keys(lines, sizes, solid, 60).tolist())
+        sizes = rng.integers(0, 80, n)
+        whole = set(zip(*(x.tolist() for x in line_dedup.shortest_runs(sizes, sizes > 0, 60))))
         a, b = sorted(rng.integers(0, n + 1, 2).tolist())
-        part = line_dedup.run_keys(lines[a:b], sizes[a:b], solid[a:b], 60)
-        assert whole >= set(part.tolist())
-        assert (sizes[a:b].sum() >= 60) == bool(len(part))
+        start, end = line_dedup.shortest_runs(sizes[a:b], sizes[a:b] > 0, 60)
+        assert whole >= {(i + a, j + a) for i, j in zip(start.tolist(), end.tolist())}
+        if sizes[a:b].sum() >= 60:
+            assert {x for i, j in zip(start.tolist(), end.tolist()) for x in range(i, j)} == set(range(b - a))
 
 
 def test_patience_finds_moved_blocks():
     a, b = list("xABCyDEF"), list("DEFzABC")
-    assert line_dedup.common_blocks(a, b, [10] * 8, 30) == [1, 2, 3, 5, 6, 7]
-    assert line_dedup.common_blocks(a, b, [10] * 8, 31) == []
+    assert line_dedup.common_blocks(a, b, [10] * 8, [True] * 8, 30) == [1, 2, 3, 5, 6, 7]
+    assert line_dedup.common_blocks(a, b, [10] * 8, [True] * 8, 31) == []
 
 
 def test_secret_scan_on_labelled_findings(spark):
