@@ -14,8 +14,8 @@ candidate pair is checked exactly on its whole texts.
 Sets that are equal form classes first (by a 128-bit hash of the set), and a task indexes a class once. In
 a key group of up to SMALL sets all pairs are candidates. In a larger one each set is paired with the
 smallest id; after these links are known, members of such a group that are still in different components
-are paired with each other, unless the counts of their shingles by frequency show that they differ in too many
-(an exact bound), so no link that joins components is lost and no large group emits all its pairs.
+are paired with each other, unless folded parity sketches show that they differ in too many elements (an exact
+bound), so no link that joins components is lost and no large group emits all its pairs.
 
 Defined results: a null, empty or blank text has an empty set, links with nothing and is its own
 component; a null key is kept with a null component; rows that repeat a key share a component; an empty
@@ -41,8 +41,8 @@ SHINGLE, NUM, DEN = 4, 85, 100
 #: Ratio of a band's sizes, group size up to which all pairs are candidates, rows of one numpy pass over groups.
 RATIO, SMALL, ROWS = 1.5, 3, 1 << 18
 
-#: Levels of shingle frequency, by powers of four, that rule out pairs of large groups; bits of a folded parity sketch.
-LEVELS, FOLD = 8, 512
+#: Bits of a folded parity sketch.
+FOLD = 512
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -278,46 +278,22 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> Da
     return two.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _profiles(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, n, f0, f1, ...): how many shingles of a set only one of the asked sets holds, how many two or three do, and so
-    on by powers of four. An id of several rows has nulls."""
+def _unresolved(members: DataFrame, labels: DataFrame, names: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of members of one large group that are in different components and that sketches do not rule out.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            found = list(shingle_sets(part.column(1), k))
-            at = np.repeat(np.arange(part.num_rows), [len(s) for s in found])
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array(np.concatenate(found).view(np.int64))], names=["id", "s"])
-
-    asked = docs.join(ids, "id", "left_semi")
-    shingles = cut(asked.mapInArrow(run, "id bigint, s bigint"))
-    level = F.least(F.lit(LEVELS - 1), F.floor((F.log2("c") + 1e-9) / 2) + F.when(F.col("c") > 1, 1).otherwise(0)).cast("int")
-    often = shingles.groupBy("s").agg(F.count(F.lit(1)).alias("c")).select("s", level.alias("level"))
-    sums = [F.count_if(F.col("level") == i).cast("int").alias(f"f{i}") for i in range(LEVELS)]
-    counted = shingles.join(often, "s").groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("n"), *sums)
-    once = asked.groupBy("id").agg(F.count(F.lit(1)).alias("_rows")).where("_rows = 1").select("id")
-    return ids.join(counted.join(once, "id"), "id", "left")
-
-
-def _unresolved(members: DataFrame, labels: DataFrame, names: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of members of one large group that are in different components and that counts do not rule out.
-
-    Shingles that one of the unresolved sets alone holds are in no other; of those of each level of frequency two
-    sets differ in no fewer than their counts do; nor do they in fewer than their folded sketches. Where that is more
-    than linked sets may differ in, the pair is left out by the join's condition. A pair that meets under several keys
-    comes from the smallest of them.
+    Two sets differ in no fewer elements than their folded parity sketches differ in bits. Where that is more than linked
+    sets may differ in, the pair is left out by the join's condition. A pair that meets under several keys comes from
+    the smallest of them.
     """
     classes = members.join(names.select("id", "rep"), "id").select("key", F.col("rep").alias("id")).distinct()
-    folds = names.select("id", *[F.col("fold")[i].alias(f"s{i}") for i in range(FOLD // 64)])
     named = classes.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
     split = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     left = cut(named.join(split, "key"))
-    known = _profiles(docs, left.select("id").distinct(), k).join(left.groupBy("id").agg(F.collect_set("key").alias("keys")), "id")
-    left = cut(left.join(known, "id").join(folds, "id"))
+    folds = names.select("id", F.col("hi").alias("n"), *[F.col("fold")[i].alias(f"s{i}") for i in range(FOLD // 64)])
+    left = left.join(left.groupBy("id").agg(F.collect_set("key").alias("keys")), "id").join(folds, "id")
     x, y = left.alias("x"), left.alias("y")
-    levels = " + ".join(["x.f0 + y.f0", *(f"abs(x.f{i} - y.f{i})" for i in range(1, LEVELS))])
     bits = " + ".join(f"bit_count(x.s{i} ^ y.s{i})" for i in range(FOLD // 64))
-    most = f"floor((x.n + y.n) * {den - num} / {den + num})"
-    near = f"coalesce({levels} <= {most}, true) AND coalesce({bits} <= {most}, true)"
+    near = f"coalesce({bits} <= floor((x.n + y.n) * {den - num} / {den + num}), true)"
     meet = x.join(y, F.expr(f"x.key = y.key AND x.id < y.id AND x.label <> y.label AND {near} AND array_min(array_intersect(x.keys, y.keys)) = x.key"))
     return meet.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
@@ -361,7 +337,7 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", text: str = "text", k: i
     links = cut(_verify(pairs, docs, k, num, den).union(equal))
     labels = cut(components(links))
     members = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("id"))
-    rest = _unresolved(members, labels, names, docs, k, num, den)
+    rest = _unresolved(members, labels, names, num, den)
     rest = cut(_canonical(rest, names, num, den).join(pairs, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         labels = cut(components(links.union(_verify(rest, docs, k, num, den))))
