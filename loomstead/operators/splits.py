@@ -85,25 +85,36 @@ def matched_impostors(genuine: DataFrame, pool: DataFrame, user: str, row: str,
 
 
 def _ring(genuine: DataFrame, pool: DataFrame, n: int, seed: int) -> DataFrame:
-    """(genuine_row, impostor_row, genuine_user, impostor_user, scene): the next n rows of other users on the ring."""
+    """(genuine_row, impostor_row, genuine_user, impostor_user, scene): the next n rows of other users on the ring. A
+    round finds the next one from where the last one stands, until a row has n or is once around."""
     place = lambda c: hash_number(F.concat_ws(":", F.lit(str(seed)), F.col(c).cast("string")), 13)
-    ring = pool.withColumn("h", place("impostor_row"))
-    twice = ring.union(ring.withColumn("h", F.col("h") + F.lit(1 << 52)))  # so that the ring closes
-    both = twice.select("scene", "h", F.lit(1).alias("side"), "impostor_row", "impostor_user", F.lit(None).cast(genuine.schema["genuine_row"].dataType).alias("genuine_row"), F.lit(None).cast(genuine.schema["genuine_user"].dataType).alias("genuine_user"))
-    asks = genuine.select("scene", place("genuine_row").alias("h"), F.lit(0).alias("side"), F.lit(None).cast(pool.schema["impostor_row"].dataType).alias("impostor_row"), F.lit(None).cast(pool.schema["impostor_user"].dataType).alias("impostor_user"), "genuine_row", "genuine_user")
-    back = Window.partitionBy("scene").orderBy(F.desc("h"), F.desc("side"), F.desc("impostor_row"))
-    rows = both.unionByName(asks)
+    asks = genuine.withColumn("start", place("genuine_row")).withColumn("h", F.col("start")).withColumn("after", F.lit(None).cast(pool.schema["impostor_row"].dataType))
+    ring = pool.select("scene", place("impostor_row").alias("h"), "impostor_row", "impostor_user")
+    ring = ring.union(ring.withColumn("h", F.col("h") + F.lit(1 << 52)))  # so that the ring closes
+    out = None
+    for _ in range(n):
+        found = _next_on_ring(asks, ring).where(F.col("h") < F.col("start") + F.lit(1 << 52))
+        one = found.select("genuine_row", "impostor_row", "genuine_user", "impostor_user", "scene")
+        out = one if out is None else out.unionByName(one)
+        asks = found.select("genuine_row", "genuine_user", "scene", "start", "h", F.col("impostor_row").alias("after"))
+    return out
+
+
+def _next_on_ring(asks: DataFrame, ring: DataFrame) -> DataFrame:
+    """The asks (genuine_row, genuine_user, scene, start, h, after) with the next row of another user behind (h, after)."""
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    a = asks.select("scene", "h", F.col("after").alias("_at"), F.when(F.col("after").isNull(), 0).otherwise(2).alias("side"), none(ring, "impostor_row"), none(ring, "impostor_user"), "genuine_row", "genuine_user", "start")
+    b = ring.select("scene", "h", F.col("impostor_row").alias("_at"), F.lit(1).alias("side"), "impostor_row", "impostor_user", none(asks, "genuine_row"), none(asks, "genuine_user"), none(asks, "start"))
     # going down the ring, a row carries the nearest candidate above it and the nearest one of another user than that
-    rows = rows.withColumn("_next", F.last(F.when(F.col("side") == 1, F.struct("impostor_row", "impostor_user")), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    back = Window.partitionBy("scene").orderBy(F.desc("h"), F.desc_nulls_last("_at"), F.desc("side"))
+    upto = back.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = a.unionByName(b).withColumn("_next", F.last(F.when(F.col("side") == 1, F.struct("impostor_row", "impostor_user", "h")), ignorenulls=True).over(upto))
     rows = rows.withColumn("_previous", F.lag("_next").over(back))
     turned = F.when((F.col("side") == 1) & (F.col("_previous.impostor_user") != F.col("impostor_user")), F.col("_previous"))
-    rows = rows.withColumn("_other", F.last(turned, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    found = rows.where("side = 0").withColumn("_pick", F.when(F.col("_next.impostor_user") != F.col("genuine_user"), F.col("_next")).otherwise(F.col("_other")))
-    out = found.where("_pick IS NOT NULL").select("genuine_row", "_pick.impostor_row", "genuine_user", "_pick.impostor_user", "scene")
-    if n == 1:
-        return out
-    rest = _ring(genuine, pool.join(out.select("scene", "impostor_row").distinct(), ["scene", "impostor_row"], "left_anti"), n - 1, seed + 1)
-    return out.unionByName(rest)
+    rows = rows.withColumn("_other", F.last(turned, ignorenulls=True).over(upto))
+    pick = F.when(F.col("_next.impostor_user") != F.col("genuine_user"), F.col("_next")).otherwise(F.col("_other"))
+    found = rows.where("side <> 1").withColumn("_pick", pick).where("_pick IS NOT NULL")
+    return found.select("genuine_row", "genuine_user", "scene", "start", "_pick.h", "_pick.impostor_row", "_pick.impostor_user")
 
 
 def leakage_audit(rows: DataFrame, pairs: DataFrame, user: str, session: str, row: str) -> DataFrame:

@@ -31,7 +31,7 @@ def pair_scores(tests: DataFrame, protos: DataFrame, user: str, vector: str, att
 
 
 def roc(df: DataFrame, score: str, label: str, keys: list[str] | None = None, weight: str | None = None, buckets: float = 1024.0) -> DataFrame:
-    """Per key and distinct score: tp, fp, pos, neg, fpr, fnr of accepting from that score on.
+    """Per key and distinct score: tp, fp, pos, neg, fpr, fnr of accepting from that score on, and the score's own counts.
 
     Running sums go in two steps, by coarse score bucket first, so no window ever spans a key's whole scores:
     bucket totals are few whatever the rows.
@@ -48,7 +48,7 @@ def roc(df: DataFrame, score: str, label: str, keys: list[str] | None = None, we
     inside = Window.partitionBy(*keys, "_b").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = points.join(totals, [*keys, "_b"]).withColumn("tp", F.col("_up") + F.sum("_p").over(inside)).withColumn("fp", F.col("_un") + F.sum("_n").over(inside))
     fpr, fnr = F.col("fp") / F.when(F.col("neg") > 0, F.col("neg")), 1 - F.col("tp") / F.when(F.col("pos") > 0, F.col("pos"))
-    return out.select(*keys, "score", "tp", "fp", "pos", "neg", fpr.alias("fpr"), fnr.alias("fnr"))
+    return out.select(*keys, "score", "tp", "fp", F.col("_p").alias("own_tp"), F.col("_n").alias("own_fp"), "pos", "neg", fpr.alias("fpr"), fnr.alias("fnr"))
 
 
 def eer(curve: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -66,12 +66,10 @@ def eer(curve: DataFrame, keys: list[str] | None = None) -> DataFrame:
 def auc_and_precision(curve: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """ROC area (ties count half) and average precision (a step function)."""
     keys = keys or []
-    # what each distinct score adds: its own counts follow from its sums' differences, so nothing has to look back
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc("score"))
-    steps = curve.withColumn("_tp", F.coalesce(F.lag("tp").over(w), F.lit(0))).withColumn("_fp", F.coalesce(F.lag("fp").over(w), F.lit(0)))
-    area = F.sum((F.col("fp") - F.col("_fp")) * (F.col("tp") + F.col("_tp")) / 2.0) / F.max(F.col("pos") * F.col("neg"))
-    precision = F.sum((F.col("tp") - F.col("_tp")) * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.max("pos")
-    return steps.where("pos > 0 AND neg > 0").groupBy(*keys).agg(area.alias("auc"), precision.alias("ap"))
+    # the curve has what each score adds, so nothing has to look back and no window spans the scores
+    area = F.sum(F.col("own_fp") * (2 * F.col("tp") - F.col("own_tp")) / 2.0) / F.max(F.col("pos") * F.col("neg"))
+    precision = F.sum(F.col("own_tp") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.max("pos")
+    return curve.where("pos > 0 AND neg > 0").groupBy(*keys).agg(area.alias("auc"), precision.alias("ap"))
 
 
 def operating_points(curve: DataFrame, budgets: list[float]) -> DataFrame:

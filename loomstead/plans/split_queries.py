@@ -77,9 +77,9 @@ def leakage_audit(spark, sf_dir):
     return S.leakage_audit(rows, pairs, "device", "session_id", "event_id")
 
 
-@register("user_coverage", "K4", f"WITH {SESS}, {fraction_sql('SELECT DISTINCT device, session_id FROM ss WHERE value > 60', 'session_id', 0.2, 0.2, 'device')}, x AS (SELECT device, bool_or(split = 'test') AS tested, bool_or(split IN ('train', 'val')) AS enrolled FROM ss JOIN sp USING (device, session_id) WHERE value > 60 GROUP BY device) SELECT * FROM x WHERE NOT tested OR NOT enrolled")
+@register("user_coverage", "K4", f"WITH {SESS}, {fraction_sql('SELECT DISTINCT kind FROM ss', 'kind', 0.25, 0.25)}, x AS (SELECT device, bool_or(split = 'test') AS tested, bool_or(split IN ('train', 'val')) AS enrolled FROM ss JOIN sp USING (kind) WHERE value > 96 GROUP BY device) SELECT * FROM x WHERE NOT tested OR NOT enrolled")
 def user_coverage(spark, sf_dir):
-    rows = S.make_split(sessions(spark, sf_dir).where("value > 60"), "leave_session_out", user="device", session="session_id")
+    rows = S.make_split(sessions(spark, sf_dir), "leave_app_out", package="kind").where("value > 96")  # few rows a user, so that some lack a side
     return S.user_coverage(rows, "device")
 
 

@@ -98,7 +98,7 @@ def k_of_n_detection(spark, sf_dir):
     return V.k_of_n(e, ["device"], ["wall", "event_id"], "reject", 3, 5).select("event_id", "alarm")
 
 
-@register("ewma_detection", "T_3 T_4 T_5", f"""WITH RECURSIVE {EV}, o AS (SELECT device, (value < 30)::INT::DOUBLE AS r, row_number() OVER (PARTITION BY device ORDER BY wall, event_id) - 1 AS i FROM ev),
+@register("ewma_detection", "T_3 T_4", f"""WITH RECURSIVE {EV}, o AS (SELECT device, (value < 30)::INT::DOUBLE AS r, row_number() OVER (PARTITION BY device ORDER BY wall, event_id) - 1 AS i FROM ev),
 e AS (SELECT device, i, 0.4::DOUBLE * r AS e FROM o WHERE i = 0 UNION ALL SELECT o.device, o.i, 0.4::DOUBLE * o.r + 0.6::DOUBLE * e.e FROM e JOIN o ON o.device = e.device AND o.i = e.i + 1)
 SELECT device, count(*) AS n_rows, min(i) FILTER (e > 0.5) AS first_alarm, count(*) FILTER (e > 0.5) AS n_alarms FROM e GROUP BY device""")
 def ewma_detection(spark, sf_dir):

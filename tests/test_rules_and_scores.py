@@ -210,4 +210,4 @@ def test_survey_rows_left_out_are_not_claimed():
     from loomstead.plans.catalog import QUERIES
 
     claimed = {x for q in QUERIES.values() for x in q.ops.split()}
-    assert not claimed & {"R3", "R8", "R9", "N6", "N8"} and {"R1", "R2", "R4", "R7", "M12"} <= claimed
+    assert not claimed & {"N1", "N2", "N16", "N18", "N19", "N20", "H1", "H6", "O1", "O3"} and {"R1", "R2", "R3", "R4", "R6", "R7", "R8", "R9", "M12", "N6", "N8"} <= claimed
