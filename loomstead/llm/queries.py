@@ -53,7 +53,7 @@ def op8_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_columns(table(spark, sf_dir, "documents"))
+    return media_columns(table(spark, sf_dir, "documents"), stored=False)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
