@@ -352,10 +352,16 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The documents without those that are not the smallest key of their component; rows with a null key stay."""
-    _, labels = jaccard_links(docs, key, text, k, num, den)
-    drop = labels.where("id <> component").select(F.col("id").alias("_drop"))
-    return docs.join(drop, F.col(f"`{key}`") == F.col("_drop"), "left_anti")
+    """The documents of which one of each component stays, that of the smallest key. Rows that repeat key and text are one
+    document, of which one row stays; rows without a key come after all others, by the hash of their text; rows that
+    repeat a key with other texts stay or go together."""
+    columns = [F.col(f"_row.`{c}`") for c in docs.columns]
+    th = F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+    own = F.coalesce(F.col(f"`{key}`").cast("bigint"), F.lit(1 << 62) + F.shiftrightunsigned(th, 3))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), own.alias("_id"), th.alias("_th"), F.col(f"`{text}`").alias("_text"))
+    _, labels = jaccard_links(rows.select("_id", "_text"), "_id", "_text", k, num, den)
+    drop = labels.where("id <> component").select(F.col("id").alias("_id"))
+    return rows.join(drop, "_id", "left_anti").dropDuplicates(["_id", "_th"]).select(*columns)
 
 
 def components_sql(source: str = "SELECT doc_id, text FROM documents", k: int = SHINGLE, num: int = NUM, den: int = DEN) -> str:
