@@ -185,24 +185,23 @@ def softmax_topk_confidence(spark, sf_dir):
 
 @register("weak_label_windows", "W3 W6 F14 B1 B11 F32", f"WITH {LABELLED} SELECT {_LABEL_COLUMNS}, {r('evt_rate')} AS evt_rate, {r('motion_energy_high')} AS motion_energy_high FROM lb")
 def weak_label_windows(spark, sf_dir):
-    f = window_features(spark, sf_dir)
-    out = R.weak_labels(f, ["device", "window_index"]).select("device", "window_index", "top1", F.array_join("topk", ",").alias("topk"), "confidence", "entropy", "low_confidence")
-    joined = out.join(f.select("device", "window_index", "evt_rate", "motion_energy_high"), ["device", "window_index"])
-    return rounded(joined, "confidence", "entropy", "evt_rate", "motion_energy_high")
+    f = window_features(spark, sf_dir).withColumns({"rate": F.col("evt_rate"), "high": F.col("motion_energy_high")})
+    out = R.weak_labels(f, ["device", "window_index", "rate", "high"])  # what the result needs is kept along, so windows are computed once
+    out = out.select("device", "window_index", "top1", F.array_join("topk", ",").alias("topk"), "confidence", "entropy", "low_confidence", F.col("rate").alias("evt_rate"), F.col("high").alias("motion_energy_high"))
+    return rounded(out, "confidence", "entropy", "evt_rate", "motion_energy_high")
 
 
 @register("quality_flags", "Q1 Q2 Q3 Q4 Q5 Q6 Q7", f"""WITH {LABELLED} SELECT device, window_index, array_to_string(list_filter([CASE WHEN kinds < 3 THEN 'missing_sensor' END, CASE WHEN ui_node_count_mean < 3 THEN 'low_record_count' END,
  CASE WHEN n_signup = 0 THEN 'missing_ui' END, CASE WHEN any_gap THEN 'time_gap' END, CASE WHEN kinds > 1 THEN 'app_transition_window' END, CASE WHEN n_error > 2 THEN 'privacy_violation' END,
  CASE WHEN sp[1] < 0.35 OR greatest(0, least(1, sp[1] - sp[4])) < 0.1 THEN 'low_confidence_label' END], lambda x: x IS NOT NULL), ',') AS flags FROM lb""")
 def quality_flags(spark, sf_dir):
-    f = window_features(spark, sf_dir)
-    labels = R.weak_labels(f, ["device", "window_index"]).select("device", "window_index", "low_confidence")
+    f = window_features(spark, sf_dir).withColumn("nodes", F.col("ui_node_count_mean"))
+    labels = R.weak_labels(f, ["device", "window_index", "kinds", "any_gap", "n_error", "n_signup", "nodes"])
     conditions = {
-        "missing_sensor": F.col("kinds") < 3, "low_record_count": F.col("ui_node_count_mean") < 3, "missing_ui": F.col("n_signup") == 0, "time_gap": F.col("any_gap"),
+        "missing_sensor": F.col("kinds") < 3, "low_record_count": F.col("nodes") < 3, "missing_ui": F.col("n_signup") == 0, "time_gap": F.col("any_gap"),
         "app_transition_window": F.col("kinds") > 1, "privacy_violation": F.col("n_error") > 2,
     }
-    flags = R.quality_flags(conditions, F.col("low_confidence"))
-    return f.join(labels, ["device", "window_index"]).select("device", "window_index", F.array_join(flags, ",").alias("flags"))
+    return labels.select("device", "window_index", F.array_join(R.quality_flags(conditions, F.col("low_confidence")), ",").alias("flags"))
 
 
 @register("canonical_scenes", "P5", """SELECT doc_id, CASE WHEN c IN ('I0', 'I1', 'I2', 'I3', 'I4', 'I5') THEN c WHEN c = 'I6' AND lang IS DISTINCT FROM 'de' THEN 'I6' WHEN c = 'I7' THEN 'I6' END AS scene
