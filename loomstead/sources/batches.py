@@ -79,3 +79,19 @@ def samples(batches: DataFrame) -> DataFrame:
 def write_table(df: DataFrame, path: str, partition: str | None = None) -> None:
     writer = df.write.mode("overwrite")
     (writer.partitionBy(partition) if partition else writer).parquet(path)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """Rows with a header, in one part if they fit one; an empty frame leaves the header."""
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_jsonl(df: DataFrame, path: str) -> None:
+    """Appends rows as JSON lines with sorted keys and the time they were written (UTC)."""
+    stamped = df.withColumn("ts", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    stamped.select(*sorted(stamped.columns)).write.mode("append").json(path)
+
+
+def write_by_category(batches: DataFrame, path: str, category: str = "task_category") -> None:
+    """The category view: batch ids and devices in folders of their task's category."""
+    batches.select("device_id", "batch_id", category).write.mode("overwrite").partitionBy(category).parquet(path)
