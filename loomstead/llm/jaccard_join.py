@@ -13,8 +13,8 @@ candidate pair is checked exactly on its whole texts.
 
 Sets that are equal form classes first (by a 128-bit hash of the set), and a task indexes a class once. In
 a key group of up to SMALL sets all pairs are candidates. In a larger one each set is paired with the
-smallest id; after these links are known, members of such a group that are still in different components
-are paired with each other, unless folded parity sketches show that they differ in too many elements (an exact
+smallest id; where that leaves several components, with the member that shares most keys of such groups; and members
+that are still in different components are paired with each other, unless folded parity sketches show that they differ in too many elements (an exact
 bound), so no link that joins components is lost and no large group emits all its pairs.
 
 Defined results: a null, empty or blank text has an empty set, links with nothing and is its own
@@ -278,17 +278,30 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> Da
     return two.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _unresolved(members: DataFrame, labels: DataFrame, names: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of members of one large group that are in different components and that sketches do not rule out.
+def _split_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, id, label) of the members of groups that hold more than one component."""
+    named = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
+    split = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    return named.join(split, "key")
+
+
+def _second_stars(split: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the members of split groups with the group's member that is in most of them, if they are not of its
+    component yet: the smallest id may be an odd one, the member that shares most segments is a typical one."""
+    places = split.groupBy("id").agg(F.count(F.lit(1)).alias("places"))
+    centre = split.join(places, "id").groupBy("key").agg(F.max(F.struct("places", (-F.col("id")).alias("_i"), "label")).alias("c"))
+    meet = split.join(centre, "key").where("label <> c.label").select("id", (-F.col("c._i")).alias("centre"))
+    return meet.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+
+
+def _unresolved(split: DataFrame, names: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of members of one split group that are in different components and that sketches do not rule out.
 
     Two sets differ in no fewer elements than their folded parity sketches differ in bits. Where that is more than linked
     sets may differ in, the pair is left out by the join's condition. A pair that meets under several keys comes from
     the smallest of them.
     """
-    classes = members.join(names.select("id", "rep"), "id").select("key", F.col("rep").alias("id")).distinct()
-    named = classes.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
-    split = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    left = cut(named.join(split, "key"))
+    left = cut(split)
     folds = names.select("id", F.col("hi").alias("n"), *[F.col("fold")[i].alias(f"s{i}") for i in range(FOLD // 64)])
     left = left.join(left.groupBy("id").agg(F.collect_set("key").alias("keys")), "id").join(folds, "id")
     x, y = left.alias("x"), left.alias("y")
@@ -298,6 +311,16 @@ def _unresolved(members: DataFrame, labels: DataFrame, names: DataFrame, num: in
     return meet.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after more links: components of the graph of components, which is small."""
+    own = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"_{c}"))
+    joined = links.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    roots = cut(components(joined.where("a <> b").distinct()))
+    fresh = roots.select("id").join(labels.select("id"), "id", "left_anti")
+    known = labels.select("id", "component").union(fresh.select("id", F.col("id").alias("component")))
+    return known.join(roots.select(F.col("id").alias("component"), F.col("component").alias("_root")), "component", "left").select("id", F.coalesce("_root", "component").alias("component"))
+
+
 def _canonical(pairs: DataFrame, names: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs by the smallest id of either class, without those of one class and those that sizes or sketches
     rule out."""
@@ -337,10 +360,13 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", text: str = "text", k: i
     links = cut(_verify(pairs, docs, k, num, den).union(equal))
     labels = cut(components(links))
     members = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("id"))
-    rest = _unresolved(members, labels, names, num, den)
-    rest = cut(_canonical(rest, names, num, den).join(pairs, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        labels = cut(components(links.union(_verify(rest, docs, k, num, den))))
+    members = cut(members.join(names.select("id", "rep"), "id").select("key", F.col("rep").alias("id")).distinct())
+    done = pairs
+    for more in (_second_stars, lambda split: _unresolved(split, names, num, den)):
+        rest = cut(_canonical(more(_split_groups(members, labels)), names, num, den).join(done, ["a", "b"], "left_anti"))
+        if not rest.isEmpty():
+            labels = cut(_merged(labels, cut(_verify(rest, docs, k, num, den))))
+        done = done.union(rest)
     return info, labels
 
 

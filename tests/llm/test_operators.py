@@ -471,6 +471,14 @@ def test_jaccard_by_brute_force(spark, docs):
         assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), find(r.doc_id))
 
 
+def test_labels_merge_as_if_all_links_were_there(spark):
+    rng = random.Random(5)
+    first, more = ([(rng.randrange(40), rng.randrange(40)) for _ in range(n)] for n in (14, 12))
+    frame = lambda rows: spark.createDataFrame(rows, "a bigint, b bigint")
+    merged = {r.id: r.component for r in jaccard_join._merged(components(frame(first)), frame(more)).collect()}
+    assert merged == {r.id: r.component for r in components(frame(first + more)).collect()}
+
+
 def test_index_keys_never_miss():
     rng = np.random.default_rng(6)
     bands = jaccard_join.Bands(85, 100)
@@ -672,3 +680,35 @@ def test_pipeline_runs_on_the_tables(spark):
     out = P.run(spark, DATA)
     assert [n for n, _ in P.STAGES][0] == "quality rules" and len(P.STAGES) == 5
     assert 0 < out.count() < spark.read.parquet(f"{DATA}/documents.parquet").count()
+
+
+def test_pipeline_of_an_empty_table_and_of_null_keys(spark, tmp_path):
+    import corpus_pipeline as P
+
+    good = [r for r in spark.read.parquet(f"{DATA}/documents.parquet").collect() if r.text and len(r.text) > 400][:12]
+    rows = [(None if i % 4 == 0 else r.doc_id, r.text, r.lang, r.source, r.n_chars) for i, r in enumerate(good)] * 2 + [(None, None, None, None, None), (5, "", None, "s", 0)]
+    for name, table in (("none", []), ("some", rows)):
+        spark.createDataFrame(table, SCHEMA).write.parquet(str(tmp_path / name / "documents.parquet"))
+        out = P.run(spark, str(tmp_path / name))
+        assert out.where("NOT lossless").count() == 0 and (out.count() == 0) == (name == "none")
+    assert out.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1").count() == 0
+
+
+def test_texts_longer_than_a_numpy_pass(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(5000)]
+    long = "\n".join(" ".join(rng.choice(words) for _ in range(10)) for _ in range(60_000))
+    assert len(long) > 4_500_000
+    cut = long[4_193_800:4_195_800]  # around the place where a long text is taken apart
+    lines = long.split("\n")
+    rows = [(1, long), (2, "own words before " + cut + " own words after"), (3, long.replace(words[0], "changed", 3)), (4, "first\n" + "\n".join(lines[30_000:30_003]) + "\nlast")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: r for r in suffix_dedup.suffix_dedup(frame.where("doc_id < 3")).collect()}
+    assert found[1].n_removed == found[2].n_removed and found[1].n_spans == found[2].n_spans == 1 and len(cut) <= found[2].n_removed <= len(cut) + 2
+    parts = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(frame).collect()}
+    assert parts == {1: 1, 2: 2, 3: 1, 4: 4}
+    kept = {r.doc_id: r.text for r in line_dedup.line_dedup(frame.where("doc_id IN (1, 4)")).collect()}
+    assert kept == {1: long, 4: "first\nlast"}
+    media = media_columns.media_columns(frame.where("doc_id = 1"), stored=False).first()
+    padded = long.encode() + bytes(-len(long) % 64)
+    assert media.payload_sha256 == hashlib.sha256(padded).hexdigest() and media.n_samples == len(padded) // 64
