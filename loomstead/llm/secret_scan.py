@@ -52,6 +52,11 @@ def _n(c: Column) -> Column:
     return c.cast("double")
 
 
+def _listed(values: list[str]) -> Column:
+    """A list of words as one literal that is split once, so that plans stay small."""
+    return F.split(F.lit(" ".join(values)), " ")
+
+
 class Words:
     """What a corpus says of words: log probabilities of letter pairs (27 x 27, the 27th for a word's edge) and its most
     frequent words of four letters or more."""
@@ -76,7 +81,7 @@ def corpus_words(docs: DataFrame, text: str = "text", most: int = DICTIONARY) ->
 
 def _likelihood(c: Column, words: Words) -> Column:
     """Mean log probability of the letter pairs in the candidate's letter runs; that of even letters without any."""
-    table = F.array(*[F.lit(float(x)) for x in words.pairs])
+    table = _listed([repr(x) for x in words.pairs]).cast("array<double>")
     plain = F.regexp_replace(F.lower(F.regexp_replace(c, "([a-z])([A-Z])", "$1 $2")), "[^a-z]+", " ")
     edged = F.concat(F.lit("{"), F.translate(F.trim(plain), " ", "{"), F.lit("{"))
     code = lambda i: F.ascii(F.substring(edged, i, F.lit(1))) - 97
@@ -95,7 +100,7 @@ def with_features(found: DataFrame, words: Words) -> tuple[DataFrame, list[str]]
     head = F.expr("substring_index(word, candidate, 1)")
     near = F.lower(F.concat_ws(" ", "before1", head))
     parts = F.split(F.lower(F.regexp_replace(c, "([a-z])([A-Z])", "$1 $2")), "[^a-z]+")
-    known = F.filter(parts, lambda x: F.array_contains(F.array(*[F.lit(w) for w in words.frequent or [""]]), x))
+    known = F.filter(parts, lambda x: F.array_contains(_listed(words.frequent), x))
     features = {
         "size": size,
         "digits": digits / size,
@@ -162,7 +167,7 @@ def labelled_findings(spark: SparkSession, n: int = TRAINING, seed: int = SEED,
     sha = lambda k: F.sha1(F.concat_ws(":", F.lit(f"{seed}-{k}"), F.col("id").cast("string")).cast("binary"))
     b64 = lambda k, size: F.substring(F.regexp_replace(F.base64(F.unhex(F.concat(sha(k), sha(k + "+")))), "[\\r\\n]", ""), 1, size)
     number = lambda k, size: F.rpad(F.concat(r(k).cast("string"), r(k + "+").cast("string")), size, "7")
-    word = lambda k: one_of(k, *plain)
+    word = lambda k: F.element_at(_listed(plain), (r(k) % len(plain) + 1).cast("int"))
     slug = F.concat(word("s1"), F.lit("-"), word("s2"), F.lit("-"), (r("s3") % 10000).cast("string"))
     name = one_of("n", "token", "api_key", "secret", "password", "auth_token", "ACCESS_KEY", "client_secret")
     hexes = F.substring(F.concat(sha("h"), sha("h2")), 1, one_of("hs", 32, 40, 40, 64))
@@ -184,9 +189,10 @@ def labelled_findings(spark: SparkSession, n: int = TRAINING, seed: int = SEED,
     filler = lambda k: F.when(r(k) % 2 == 0, word(k + "w")).otherwise(one_of(k, "the", "of", "and", "in", "x", "a", "|"))
     form, secret, assigned = r("form") % 4, (kind < 8) | kind.isin(15, 16, 17), kind.between(15, 20)
     form = F.when(assigned & (form == 2), 3).otherwise(form)
-    before3 = F.when(secret & (form == 3), F.concat(F.lit("my "), name)).otherwise(filler("f3"))
-    before2 = F.when((secret | assigned) & (form < 2), name).otherwise(filler("f2"))
-    before1 = F.when((secret | assigned) & (form < 2), one_of("eq", "=", "=", ":", ":=")).when(secret & (form == 2), F.concat(name, F.lit(":"))).when(kind == 12, one_of("cm", "commit", "sha1", "checksum", "revision")).when(secret, F.lit("is")).otherwise(filler("f1"))
+    behind = kind.isin(8, 9, 10, 13, 21) & (form == 3)  # what follows a secret is none for that
+    before3 = F.when(secret & (form == 3), F.concat(F.lit("my "), name)).when(behind, name).otherwise(filler("f3"))
+    before2 = F.when((secret | assigned) & (form < 2), name).when(behind, F.lit("=")).otherwise(filler("f2"))
+    before1 = F.when(behind, F.concat(F.lit('"'), hexes, F.lit('"'), one_of("bq", "", ";", "###"))).when((secret | assigned) & (form < 2), one_of("eq", "=", "=", ":", ":=")).when(secret & (form == 2), F.concat(name, F.lit(":"))).when(kind == 12, one_of("cm", "commit", "sha1", "checksum", "revision")).when(secret, F.lit("is")).otherwise(filler("f1"))
     wrapped = (
         F.when((secret | assigned) & (form < 2) & (r("q") % 3 < 2), F.concat(F.lit('"'), value, F.lit('"'), one_of("t", "", "", ";", ",", "###")))
         .when((secret | assigned) & (form == 3), F.concat(name, F.lit("="), value)).otherwise(F.concat(value, one_of("t2", "", "", ".", ",", "!!")))
@@ -195,6 +201,7 @@ def labelled_findings(spark: SparkSession, n: int = TRAINING, seed: int = SEED,
     rows = spark.range(0, n, 1, 1).select(
         F.col("id").alias("doc_id"), F.concat_ws(" ", before3, before2, before1, wrapped, filler("fa")).alias("text"), where.alias("path"), value.alias("_value"), secret.cast("double").alias("label"),
     )
+    rows = cut(rows)
     found = candidates(rows, "doc_id", "text", "path").join(rows.select("doc_id", "_value", "label"), "doc_id")
     # what the scan itself cuts out of the text, if it is of the labelled value
     same = F.col("_value").contains(F.col("candidate")) | F.col("candidate").contains(F.col("_value"))
