@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from . import jaccard_join, mixture, piece_sampling, quality_rules, secret_scan, site_quality
+from . import fill_in_middle, jaccard_join, mixture, piece_sampling, quality_rules, secret_scan, site_quality
 from .line_dedup import line_dedup
 from .media_columns import media_columns
 from .page_wrappers import main_text
@@ -61,6 +61,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality_rules.COLUMNS)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"), outputs=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_piece_sampling": op8_piece_sampling,
     "op9_media_columns": op9_media_columns,
     "op10_quality_rules": op10_quality_rules,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force in tests/llm.
@@ -80,4 +85,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_site_quality": site_quality.ORACLE,
     "op7_jaccard_join": jaccard_join.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
+    "op11_fill_in_middle": fill_in_middle.ORACLE,
 }
