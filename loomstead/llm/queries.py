@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from . import fill_in_middle, jaccard_join, mixture, piece_sampling, quality_rules, secret_scan, site_quality, token_counts
+from . import fill_in_middle, jaccard_join, mixture, piece_sampling, quality_rules, secret_scan, site_quality, token_alignment, token_counts
 from .line_dedup import line_dedup
 from .media_columns import media_columns
 from .page_wrappers import main_text
@@ -69,6 +69,10 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.token_alignment(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_token_counts": op12_token_counts,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force in tests/llm.
