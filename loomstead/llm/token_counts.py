@@ -6,9 +6,10 @@ of a word is that of a shorter prefix and one more token, the only one that both
 the shorter prefix's last token. The table of a word keeps that last token and the count at every prefix; a second
 row closes each prefix with a token that ends a word, since that is what the library does with a text that stops there.
 
-What stands between two spaces has a table of its own, made once for each different one and kept while memory allows. A
-text's counts are those tables laid end to end, so they hold for every prefix, and questions of truncation and of
-budgets are looked up (`count_at`, `fitting`, `truncated`), not encoded again. Counts are not monotone (a whole word may
+What stands between two spaces has a table of its own, and a text's counts are those tables laid end to end, so they hold
+for every prefix (`prefix_counts`), and questions of truncation and of budgets are looked up (`count_at`, `fitting`,
+`truncated`), not encoded again. `token_counts` needs the last entry of each table only, which is kept while memory
+allows, and looks into the one table where the limit is passed. Counts are not monotone inside a word (a whole word may
 take fewer tokens than its beginning), so the longest prefix within a budget is looked for from the end.
 
 Counts are those of the library without added tokens; the vocabulary's special strings inside a text are one token
@@ -38,8 +39,11 @@ from .common import slices
 #: The vocabulary and the limit of the op12 contract.
 MODEL, LIMIT = "word_bpe_49k.json", 2048
 
-#: Code points of a portion of a long text, and of the longest run that is kept; how many runs and prefixes are kept.
-PORTION, RUN, KEPT = 1 << 19, 48, 1 << 17
+#: Code points of a portion of a long text, and of the longest run that is kept; how many runs and words are kept.
+PORTION, RUN, KEPT = 1 << 19, 48, 1 << 19
+
+#: What is known beside a token that has not been looked at.
+NONE: dict[str, bool] = {}
 
 #: Mark of a token that ends a word in the vocabulary file (fixed value).
 END = "</w>"
@@ -49,7 +53,6 @@ AGREED = regex.compile("[^\\x00-\\u052f]")
 ITEM = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+|\s+")
 CONTRACTIONS = {"'s", "'t", "'re", "'ve", "'m", "'ll", "'d"}
 SPACE = regex.compile(r"\s+")
-MARKS = regex.compile(r"[^\s\p{L}\p{N}]+")
 
 
 def byte_letters() -> list[str]:
@@ -68,17 +71,24 @@ class Merges:
     def __init__(self, vocabulary: dict[str, int], merges: list) -> None:
         self.vocabulary = vocabulary
         self.rank = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(merges)}
-        self.longest = max(len(t.removesuffix(END)) for t in vocabulary)
-        self.beside: dict[tuple[str, str], bool] = {}
-        self.states: dict[str, tuple[str, int, int]] = {}
+        # by a token's last three letters, the lengths that such tokens have, the longest first
+        sizes: dict[str, set[int]] = {}
+        for token in vocabulary:
+            body = token.removesuffix(END)
+            if len(body) > 2:
+                sizes.setdefault(body[-3:] + token[len(body) :], set()).add(len(body))
+        self.sizes = {tail: (*sorted(s, reverse=True), 2, 1) for tail, s in sizes.items()}
+        self.beside: dict[str, dict[str, bool]] = {}
+        self.pairs = 0
 
     def stays(self, left: str, right: str) -> bool:
         """Whether the two tokens, or the right one if the left is empty, are the encoding of their bytes."""
-        known = self.beside.get((left, right))
-        if known is None:
-            known = self.beside[left, right] = self._encoded(left, right) == [t for t in (left, right) if t]
-            if len(self.beside) > 8 * KEPT:
-                self.beside.clear()
+        known = self._encoded(left, right) == [t for t in (left, right) if t]
+        if self.pairs > 8 * KEPT:
+            self.beside.clear()
+            self.pairs = 0
+        self.beside.setdefault(left, {})[right] = known
+        self.pairs += 1
         return known
 
     def _encoded(self, left: str, right: str) -> list[str]:
@@ -86,38 +96,47 @@ class Merges:
         symbols = [*left, *body]
         if len(body) < len(right):
             symbols[-1] += END
+        rank, never = self.rank, 1 << 30
         while len(symbols) > 1:
-            first = min(range(len(symbols) - 1), key=lambda i: self.rank.get((symbols[i], symbols[i + 1]), 1 << 30))
-            if (symbols[first], symbols[first + 1]) not in self.rank:
+            ranks = [rank.get(p, never) for p in zip(symbols, symbols[1:])]
+            best = min(ranks)
+            if best == never:
                 break
+            first = ranks.index(best)
             symbols[first : first + 2] = [symbols[first] + symbols[first + 1]]
         return symbols
 
+    def _step(self, letters: str, i: int, end: str, last: list[str], count: list[int]) -> tuple[str, int]:
+        """(token, count) that ends the first i letters, given those of all shorter prefixes."""
+        vocabulary, beside = self.vocabulary, self.beside
+        for n in self.sizes.get(letters[i - 3 : i] + end if i > 2 else "", (2, 1)):
+            if n > i:
+                continue
+            token = letters[i - n : i] + end
+            if token in vocabulary:
+                left = last[i - n]
+                good = beside.get(left, NONE).get(token)
+                if good or good is None and self.stays(left, token):
+                    return token, count[i - n] + 1
+        raise ValueError(f"the vocabulary has no token for {letters!r}")
+
+    def prefixes(self, letters: str, n: int) -> tuple[list[str], list[int]]:
+        """Last token and count of every prefix of up to n letters of a word that goes on."""
+        last, count = [""], [0]
+        for i in range(1, n + 1):
+            token, tokens = self._step(letters, i, "", last, count)
+            last.append(token)
+            count.append(tokens)
+        return last, count
+
+    def total(self, letters: str) -> int:
+        """Tokens of a word."""
+        return self._step(letters, len(letters), END, *self.prefixes(letters, len(letters) - 1))[1]
+
     def totals(self, letters: str) -> list[int]:
         """Tokens of every prefix of a word, from one byte to all, as if the word ended there."""
-        last, count, out = [""], [0], []
-        states, vocabulary, stays = self.states, self.vocabulary, self.stays
-        for i in range(1, len(letters) + 1):
-            known = states.get(letters[:i]) if i <= RUN else None
-            if known is None:
-                known = open_ = close = None
-                for n in range(min(i, self.longest), 0, -1):
-                    token = letters[i - n : i]
-                    if open_ is None and token in vocabulary and stays(last[i - n], token):
-                        open_ = token, count[i - n] + 1
-                    if close is None and token + END in vocabulary and stays(last[i - n], token + END):
-                        close = count[i - n] + 1
-                    if open_ is not None and close is not None:
-                        break
-                known = *open_, close
-                if i <= RUN:
-                    if len(states) > 4 * KEPT:
-                        states.clear()
-                    states[letters[:i]] = known
-            last.append(known[0])
-            count.append(known[1])
-            out.append(known[2])
-        return out
+        states = self.prefixes(letters, len(letters) - 1)
+        return [self._step(letters, i, END, *states)[1] for i in range(1, len(letters) + 1)]
 
 
 class Counter:
@@ -137,8 +156,8 @@ class Counter:
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.split = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
         self.nfc, self.lower = normalizers.NFC(), normalizers.Lowercase()
-        self.runs: dict[str, tuple[str, np.ndarray]] = {}
-        self.tables: dict[str, list[int]] = {}
+        self.runs: dict[str, int] = {}
+        self.words: dict[str, int] = {}
 
     def form(self, text: str) -> str:
         """Normal form C of a text without special strings."""
@@ -156,47 +175,64 @@ class Counter:
             at = end
         return out + [low[at:]] if at < len(low) else out
 
+    def _letters(self, item: str) -> str:
+        return item if item.isascii() and item.isalpha() else "".join([self.letters[b] for b in item.encode()])
+
+    def _total(self, item: str) -> int:
+        """Tokens of a lower-case item."""
+        known = self.words.get(item)
+        if known is None:
+            known = 0 if SPACE.fullmatch(item) else self.merges.total(self._letters(item))
+            if len(item) <= RUN:
+                if len(self.words) > KEPT:
+                    self.words.clear()
+                self.words[item] = known
+        return known
+
     def _word(self, item: str) -> list[int]:
-        """Tokens of every prefix of an item, in code points."""
+        """Tokens of every prefix of a lower-case item, in code points."""
         if SPACE.fullmatch(item):
             return [0] * len(item)
-        known = self.tables.get(item)
+        if item in CONTRACTIONS:  # cut short, it is a mark and letters
+            return [sum([self._total(x) for x in self.items(item[:i])]) for i in range(1, len(item))] + [self._total(item)]
+        totals = self.merges.totals(self._letters(item))
+        return totals if len(totals) == len(item) else [totals[i - 1] for i in np.cumsum([len(c.encode()) for c in item]).tolist()]
+
+    def _lower(self, form: str) -> str:
+        # the library lowers one code point at a time, so a sigma is no other at the end of a word
+        return self.lower.normalize_str(form) if AGREED.search(form) else form.replace("Σ", "σ").lower()
+
+    def run_total(self, run: str) -> int:
+        """Tokens of what stands between two spaces."""
+        known = self.runs.get(run)
         if known is None:
-            if item in CONTRACTIONS:  # cut short, it is a mark and letters
-                known = [sum(self._word(x)[-1] for x in self.items(item[:i])) for i in range(1, len(item))] + [self._own(item)[-1]]
+            if run.isascii() and run.isalpha():
+                known = self._total(run.lower())
             else:
-                known = self._own(item)
-            if len(item) <= RUN:
-                if len(self.tables) > KEPT:
-                    self.tables.clear()
-                self.tables[item] = known
+                known = 0
+                for part in self.special.split(run):
+                    known += sum([self._total(x) for x in self.items(self._lower(self.form(part)))])
+                known += len(self.special.findall(run))
+            if len(run) <= RUN:
+                if len(self.runs) > KEPT:
+                    self.runs.clear()
+                self.runs[run] = known
         return known
 
-    def _own(self, item: str) -> list[int]:
-        data = item.encode()
-        totals = self.merges.totals("".join([self.letters[b] for b in data]))
-        return totals if len(totals) == len(item) else [totals[i - 1] for i in np.cumsum([len(c.encode()) for c in item]).tolist()]
-
     def _plain(self, form: str) -> tuple[list[int], str]:
         """Tokens of every prefix of a text without special strings, and its last item in lower case."""
-        agreed = not AGREED.search(form)
-        # the library lowers one code point at a time, so a sigma is no other at the end of a word
-        lower = (lambda x: x.replace("Σ", "σ").lower()) if agreed else self.lower.normalize_str
-        low = lower(form)
+        low = self._lower(form)
         out, base, items = [], 0, self.items(low)
         for item in items:
             table = self._word(item)
             out += [base + n for n in table] if base else table
             base = out[-1]
         if len(low) != len(form):  # letters that become several
-            out = [out[i - 1] for i in np.cumsum([len(lower(c)) for c in form]).tolist()]
+            out = [out[i - 1] for i in np.cumsum([len(self._lower(c)) for c in form]).tolist()]
         return out, items[-1] if items else ""
 
     def _run(self, run: str) -> tuple[str, np.ndarray]:
         """(form, tokens of every prefix) of what stands between two spaces, and once more behind the space."""
-        known = self.runs.get(run)
-        if known is not None:
-            return known
         forms, counts, at, tail = [], [], 0, ""
         for found in [*self.special.finditer(run), None]:
             part = self.form(run[at : found.start() if found else len(run)])
@@ -207,37 +243,62 @@ class Counter:
                 counts += [base + n for n in table]
                 base = counts[-1]
             if found:  # cut short, it is marks and letters, and its marks join those before it
-                joined = tail if part and MARKS.fullmatch(tail) else ""
+                joined = tail if part and self.items(tail + found[0][0]) == [tail + found[0][0]] else ""
                 less = self._plain(joined)[0][-1] if joined else 0
                 counts += [base - less + n for n in self._plain(joined + found[0][:-1])[0][len(joined) :]] + [base + 1]
                 forms.append(found[0])
                 at, tail = found.end(), ""
         counts.append(counts[-1] if counts else 0)
-        known = "".join(forms), np.array(counts, np.int64)
-        if len(run) <= RUN:
-            if len(self.runs) > KEPT:
-                self.runs.clear()
-            self.runs[run] = known
-        return known
+        return "".join(forms), np.array(counts, np.int64)
 
-    def portions(self, text: str) -> Iterator[tuple[str, np.ndarray]]:
-        """(form, counts) of a text, portion by portion: counts[i] tokens in the text up to i + 1 code points into the portion."""
-        at, base = 0, 0
+    def _portions(self, text: str) -> Iterator[tuple[list[str], bool]]:
+        """(runs, whether nothing follows) of a text, portion by portion; a portion but the last takes the space behind it along."""
+        at = 0
         while at < len(text):
             end = len(text)
             if end - at > PORTION:
                 end = text.rfind(" ", at + 1, at + PORTION)
                 end = text.find(" ", at + PORTION) if end < 0 else end
                 end = len(text) if end < 0 else end
-            runs = [self._run(r) for r in text[at:end].split(" ")]
+            yield text[at:end].split(" "), end == len(text)
+            at = end + 1
+
+    def count(self, text: str) -> int:
+        """Tokens of a text."""
+        known, total = self.runs, 0
+        for runs, _ in self._portions(text):
+            totals = [known.get(r) for r in runs]
+            if None in totals:
+                totals = [self.run_total(r) if n is None else n for r, n in zip(runs, totals)]
+            total += sum(totals)
+        return total
+
+    def fitting(self, text: str, budget: int) -> int:
+        """Code points of the longest prefix, of the text's normal form, of `budget` tokens at most.
+
+        The runs' totals add up and never fall, so the prefix ends in or before the first run that goes beyond.
+        """
+        total = length = 0
+        for runs, whole in self._portions(text):
+            for i, run in enumerate(runs):
+                n = self.run_total(run)
+                if total + n > budget:
+                    within = np.flatnonzero(total + self._run(run)[1][:-1] <= budget)
+                    return length + int(within[-1]) + 1 if len(within) else length
+                total, length = total + n, length + len(run if run.isascii() else self._run(run)[0]) + (i + 1 < len(runs) or not whole)
+        return length
+
+    def portions(self, text: str) -> Iterator[tuple[str, np.ndarray]]:
+        """(form, counts) of a text, portion by portion: counts[i] tokens in the text up to i + 1 code points into the portion."""
+        base = 0
+        for parts, whole in self._portions(text):
+            runs = [self._run(r) for r in parts]
             sizes = np.array([len(r[1]) for r in runs])
             ends = np.array([r[1][-1] for r in runs])
-            # a portion but the last takes the space behind it along; of the last run of a text there is none
+            # of the last run of a text there is no space behind it
             counts = np.concatenate([r[1] for r in runs]) + np.repeat(base + np.cumsum(ends) - ends, sizes)
-            whole = end == len(text)
             yield " ".join([r[0] for r in runs]) + ("" if whole else " "), counts[:-1] if whole else counts
             base += int(ends.sum())
-            at = end + 1
 
 
 @lru_cache(maxsize=2)
@@ -263,14 +324,10 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", limit
         for part in slices(batches, "text"):
             n_bytes, n_tokens, fits = [], [], []
             for t in part.column(1).to_pylist():
-                total = length = fit = 0
-                for _, counts in own.portions(t):
-                    within = np.flatnonzero(counts <= limit)
-                    fit = length + int(within[-1]) + 1 if len(within) else fit
-                    length, total = length + len(counts), int(counts[-1])
+                n = own.count(t)
                 n_bytes.append(len(t.encode()))
-                n_tokens.append(total)
-                fits.append(fit)
+                n_tokens.append(n)
+                fits.append(own.fitting(t, limit) if n > limit else len(t if t.isascii() else own.form(t)))
             columns = [pa.array(c, pa.int64()) for c in (n_bytes, n_tokens, fits)]
             over = pa.array([n > limit for n in n_tokens], pa.bool_())
             yield pa.RecordBatch.from_arrays([part.column(0), columns[0], columns[1], over, columns[2]], names=[key, "n_bytes", "n_tokens", "over_limit", "fit_chars"])

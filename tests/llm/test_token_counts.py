@@ -2,7 +2,6 @@
 
 import unicodedata
 
-import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import example, given, settings
@@ -96,9 +95,20 @@ def test_truncation(spark, budget):
         assert r.t == whole[: max(i for i in range(len(whole) + 1) if library(whole[:i]) <= budget)]
 
 
-def test_tables_are_bounded():
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=12).map("".join), st.integers(0, 12), st.sampled_from([2, 5, 1 << 19]))
+def test_totals_and_budgets(text, budget, portion):
+    own = token_counts.counter()
+    token_counts.PORTION = portion
+    form, counts = counted(text)
+    assert own.count(text) == counts[-1]
+    assert own.fitting(text, budget) == max(i for i, n in enumerate(counts) if n <= budget)
+    token_counts.PORTION = 1 << 19
+
+
+def test_what_is_kept_is_bounded(monkeypatch):
+    monkeypatch.setattr(token_counts, "KEPT", 50)
     own = token_counts.Counter(public_tokenizers.path(token_counts.MODEL))
-    own.merges.states.update({str(i): ("", 0, 0) for i in range(4 * token_counts.KEPT + 1)})
-    own.merges.totals("wordlike")
-    assert len(own.merges.states) < 100
-    assert np.array_equal(own._run("wordlike")[1], own._run("wordlike")[1])
+    text = " ".join(f"w{i}x{i * 7}" for i in range(400))
+    assert own.count(text) == library(text)
+    assert len(own.runs) <= 52 and len(own.words) <= 52 and own.merges.pairs <= 402
