@@ -40,11 +40,11 @@ MODEL_A, MODEL_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: White space of either library (fixed values: the code points with the property of that name).
 SPACES = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
-#: Code points of a portion of a long text and of the longest chunk that is kept; how many chunks are kept.
-PORTION, CHUNK, KEPT = 1 << 19, 64, 1 << 17
+#: Code points of a portion of a long text; how many chunks are kept.
+PORTION, KEPT = 1 << 20, 1 << 19
 
-#: A pair is its A id times this, plus its B id.
-STEP = 1 << 20
+#: A pair is its A id times STEP, plus its B id; a slice has fewer texts than PLACES.
+STEP, PLACES = 1 << 20, 1 << 16
 
 
 def aligned(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,8 +72,25 @@ class Spelling:
         return self.joined[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.bounds[ids] - ends + sizes, sizes)]
 
 
-#: What is known of a chunk: A tokens, B tokens, groups, pairs of its links, its groups as text. None: not spelt.
-Chunk = tuple[int, int, int, np.ndarray, bytes]
+class Learnt:
+    """What is known of chunks, by number: tokens of either side, groups, links, the links' pairs, the groups as text."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.counts = np.zeros((0, 4), np.int64)
+        self.ends = np.zeros(1, np.int64)
+        self.pairs = np.zeros(0, np.int64)
+        self.texts: list[bytes] = []
+
+    def add(self, chunks: list[str], counts: np.ndarray, pairs: np.ndarray, texts: list[bytes]) -> None:
+        self.numbers.update(zip(chunks, range(len(self.texts), len(self.texts) + len(chunks))))
+        self.counts, self.pairs = np.concatenate((self.counts, counts)), np.concatenate((self.pairs, pairs))
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(counts[:, 3])))
+        self.texts += texts
+
+
+#: Number of a chunk that is not spelt byte by byte.
+BAD = -1
 
 
 class Pair:
@@ -107,30 +124,40 @@ class Pair:
         # from a border behind something solid to the next: other white space in between belongs to the chunk
         self.chunks = re.compile(f"[{re.escape(self.borders)}]{any_}*{solid}*(?:[{other}]{any_}*{solid}*)*" if self.borders else "(?s:.+)")
         self.cut = re.compile(f"(?<={solid})[{re.escape(self.borders)}]" if self.borders else r"(?!)")
-        self.known: dict[str, Chunk | None] = {}
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Encode and align chunks: they are laid end to end, as both vocabularies see them one by one."""
-        ids_a = [np.array(e.ids, np.int64) for e in self.a.encode_batch(chunks, add_special_tokens=False)]
-        # the model puts a space before a text; a chunk that begins with one gives it up, another loses the piece again
-        ids_b = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
-        ids_b = [np.array(([self.space] if c == " " else x) if c[0] == " " else x[1:] if x[:1] == [self.space] else [], np.int64) for c, x in zip(chunks, ids_b)]
-        good = []
-        for c, a, b in zip(chunks, ids_a, ids_b):
-            data = c.encode()
-            if self.spell_a(a).tobytes() == data == self.spell_b(b).tobytes():
-                good.append((c, a, b))
-            else:
-                self.known[c] = None
-        if not good:
+        self.learnt = Learnt()
+
+    def _encoded(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """A and B ids of a text that begins with white space."""
+        ids_a = np.array(self.a.encode(text, add_special_tokens=False).ids, np.int64)
+        # the model puts a space before a text: one that begins with a space gives it up, another loses the piece again
+        if text[0] == " ":
+            ids_b = self.b.encode(text[1:]) if len(text) > 1 else [self.space]
+        else:
+            ids_b = self.b.encode(text)
+            ids_b = ids_b[1:] if ids_b[:1] == [self.space] else []
+        return ids_a, np.array(ids_b, np.int64)
+
+    def learn(self, chunks: list[str]) -> None:
+        """Encode and align chunks laid end to end: each but the last ends with something solid, so both vocabularies
+        see them one by one."""
+        if not chunks:
             return
-        all_a, all_b = np.concatenate([g[1] for g in good]), np.concatenate([g[2] for g in good])
+        whole = "".join(chunks)
+        data = np.frombuffer(whole.encode(), np.uint8)
+        stops = np.cumsum([len(c) for c in chunks] if whole.isascii() else [len(c.encode()) for c in chunks])
+        all_a, all_b = self._encoded(whole)
         ends_a, ends_b = np.cumsum(self.spell_a.sizes[all_a]), np.cumsum(self.spell_b.sizes[all_b])
+        upto_a, upto_b = np.searchsorted(ends_a, stops) + 1, np.searchsorted(ends_b, stops) + 1
+        spelt = np.array_equal(self.spell_a(all_a), data) and np.array_equal(self.spell_b(all_b), data)
+        if not spelt or not np.array_equal(ends_a[upto_a - 1], stops) or not np.array_equal(ends_b[upto_b - 1], stops):
+            if len(chunks) == 1:
+                self.learnt.numbers[whole] = BAD
+            else:  # a few chunks spoil the rest: halves find them
+                self.learn(chunks[: len(chunks) // 2])
+                self.learn(chunks[len(chunks) // 2 :])
+            return
         link_a, link_b, groups = aligned(ends_a, ends_b)
-        pairs = all_a[link_a] * STEP + all_b[link_b]
-        upto_a, upto_b = np.cumsum([len(g[1]) for g in good]), np.cumsum([len(g[2]) for g in good])
-        links = np.searchsorted(link_a, upto_a)
-        count = np.searchsorted(groups, ends_a[upto_a - 1], side="right")
+        links, upto = np.searchsorted(link_a, upto_a), np.searchsorted(groups, stops, side="right")
         # the tokens as they are written: group by group, A before B
         group_a, group_b = np.searchsorted(groups, ends_a), np.searchsorted(groups, ends_b)
         size_a, size_b = np.bincount(group_a, minlength=len(groups)), np.bincount(group_b, minlength=len(groups))
@@ -141,13 +168,25 @@ class Pair:
         line[np.arange(len(all_a)) + (before_b - size_b)[group_a]] = all_a + self.width * last_a
         line[np.arange(len(all_b)) + before_a[group_b]] = all_b + 2 * self.width * last_b
         text = self.written(line).tobytes()
-        stops = np.cumsum(self.written.sizes[line])[upto_a + upto_b - 1]
-        at = [0, 0, 0, 0, 0]
-        for (c, _, _), *to in zip(good, upto_a.tolist(), upto_b.tolist(), count.tolist(), links.tolist(), stops.tolist()):
-            self.known[c] = to[0] - at[0], to[1] - at[1], to[2] - at[2], pairs[at[3] : to[3]].copy(), text[at[4] : to[4]]
-            at = to
-
-    def _portions(self, text: str) -> Iterator[str]:
+        cuts = [0, *np.cumsum(self.written.sizes[line])[upto_a + upto_b - 1].tolist()]
+        counts = np.diff(np.stack((upto_a, upto_b, upto, links), axis=1), axis=0, prepend=0)
+        self.learnt.add(chunks, counts, all_a[link_a] * STEP + all_b[link_b], [text[a:b] for a, b in zip(cuts, cuts[1:])])
+
+    def numbered(self, chunks: list[str]) -> np.ndarray:
+        """The chunks' numbers; those not known yet are learnt."""
+        if len(self.learnt.texts) > KEPT:
+            self.learnt = Learnt()
+        numbers = self.learnt.numbers
+        fresh = [c for c in set(chunks) if c not in numbers]
+        tails = [c for c in fresh if c[-1] in SPACES]  # the end of a text
+        self.learn(sorted(c for c in fresh if c[-1] not in SPACES))
+        for c in tails:
+            self.learn([c])
+        return np.array([numbers[c] for c in chunks], np.int64)
+
+    def portions(self, text: str) -> Iterator[str]:
+        """A text behind its space, cut between chunks."""
+        text = " " + text
         at = 0
         while at < len(text):
             found = self.cut.search(text, at + PORTION) if len(text) - at > PORTION else None
@@ -155,33 +194,55 @@ class Pair:
             yield text[at:end]
             at = end
 
-    def align(self, text: str) -> tuple[int, int, int, np.ndarray, np.ndarray, str] | None:
-        """(A tokens, B tokens, groups, the different pairs of its links, how often each, digest of the groups) of a
-        non-empty text; None if it is not spelt byte by byte."""
-        n_a = n_b = n_groups = 0
-        digest, found, held = hashlib.sha256(), [], b""
-        for portion in self._portions(" " + text):
-            chunks = self.chunks.findall(portion)
-            if len(self.known) > KEPT:
-                self.known.clear()
-            if fresh := [c for c in dict.fromkeys(chunks) if c not in self.known]:
-                self._learn(fresh)
-            parts = [self.known[c] for c in chunks]
-            for c in fresh:
-                if len(c) > CHUNK:
-                    del self.known[c]
-            if None in parts:
-                return None
-            n_a, n_b, n_groups = n_a + sum([p[0] for p in parts]), n_b + sum([p[1] for p in parts]), n_groups + sum([p[2] for p in parts])
-            found.append(np.unique(np.concatenate([p[3] for p in parts]), return_counts=True))
-            digest.update(held)
-            held = b"".join([p[4] for p in parts])
-        digest.update(held[:-1])  # nothing follows the last group
-        pairs, times = found[0]
-        if len(found) > 1:
-            pairs, at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
-            times = np.bincount(at, np.concatenate([f[1] for f in found])).astype(np.int64)
-        return n_a, n_b, n_groups, pairs, times, digest.hexdigest()
+    def align(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """Of texts: (rows of A tokens, B tokens, groups, links), digests of the groups ('' without tokens), and, by pair and
+        text, the different keys `pair * PLACES + place of the text` with how often each is."""
+        totals, digests = np.zeros((len(texts), 4), np.int64), [hashlib.sha256() for _ in texts]
+        held, bad = [b""] * len(texts), np.zeros(len(texts), bool)
+        keys, times = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+        def work(pieces: list[tuple[int, list[str]]]) -> None:
+            numbers = self.numbered([c for _, chunks in pieces for c in chunks])
+            sizes = np.array([len(chunks) for _, chunks in pieces])
+            place = np.repeat([p for p, _ in pieces], sizes)
+            if (numbers == BAD).any():
+                bad[place[numbers == BAD]] = True
+            good = ~bad[place]
+            number, place = numbers[good], place[good]
+            learnt = self.learnt
+            np.add.at(totals, place, learnt.counts[number])
+            reach, first = learnt.counts[number, 3], learnt.ends[number]
+            stops = np.cumsum(reach)
+            pairs = learnt.pairs[np.arange(stops[-1] if len(stops) else 0) + np.repeat(first - stops + reach, reach)]
+            key, n = np.unique(pairs * PLACES + np.repeat(place, reach), return_counts=True)
+            keys.append(key)
+            times.append(n)
+            at = 0
+            for (p, chunks), size in zip(pieces, sizes.tolist()):
+                if not bad[p]:
+                    digests[p].update(held[p])
+                    held[p] = b"".join([learnt.texts[i] for i in numbers[at : at + size].tolist()])
+                at += size
+
+        open_, waiting = 0, []
+        for place, text in enumerate(texts):
+            for portion in self.portions(text) if text else ():
+                waiting.append((place, self.chunks.findall(portion)))
+                open_ += len(portion)
+                if open_ >= 4 * PORTION:
+                    work(waiting)
+                    open_, waiting = 0, []
+        if waiting:
+            work(waiting)
+        for place in range(len(texts)):
+            digests[place].update(held[place][:-1])  # nothing follows the last group
+        totals[bad] = 0
+        key, n = keys[-1], times[-1]
+        if len(keys) > 2:
+            key, at = np.unique(np.concatenate(keys), return_inverse=True)
+            n = np.bincount(at, np.concatenate(times), minlength=len(key)).astype(np.int64)
+        fine = ~bad[key % PLACES]
+        return totals, [d.hexdigest() if t else "" for d, t in zip(digests, totals[:, 0].tolist())], key[fine], n[fine]
 
 
 @lru_cache(maxsize=2)
@@ -205,23 +266,13 @@ def _slices(rows: DataFrame, model_a: str | None, model_b: str | None) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, first = pair_of(model_a, model_b), TaskContext.get().partitionId() << 32
-        kinds = [pa.struct([("id", pa.int64()), *((n, pa.int64()) for n in ("n_a", "n_b", "n_groups", "n_links")), ("groups_sha256", pa.string())]), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-        for number, part in enumerate(slices(batches, "text", 4 * SLICE_BYTES)):
-            docs, pairs, times, place = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for i, (key, text) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist())):
-                found = own.align(text) if text else None
-                if found is None:
-                    docs.append((key, 0, 0, 0, 0, ""))
-                    continue
-                docs.append((key, *found[:3], int(found[4].sum()), found[5]))
-                pairs.append(found[3])
-                times.append(found[4])
-                place.append(np.full(len(found[3]), i))
-            pairs, times, place = np.concatenate(pairs), np.concatenate(times), np.concatenate(place)
-            by = np.argsort(pairs, kind="stable")
-            different, held = np.unique(pairs, return_counts=True)
-            columns = [[dict(zip(("id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"), d)) for d in docs], different, held, place[by], times[by]]
-            lists = [pa.array([c], pa.list_(k)) for c, k in zip(columns, kinds)]
+        small = (part.slice(at, PLACES) for part in slices(batches, "text", 4 * SLICE_BYTES) for at in range(0, part.num_rows, PLACES))
+        for number, part in enumerate(small):
+            totals, digests, keys, times = own.align(part.column(1).to_pylist())
+            different, held = np.unique(keys // PLACES, return_counts=True)
+            names = ["id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
+            docs = pa.StructArray.from_arrays([part.column(0), *(pa.array(totals[:, c]) for c in range(4)), pa.array(digests, pa.string())], names=names)
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in (docs, pa.array(different), *(pa.array(x.astype(np.int32)) for x in (held, keys % PLACES, times)))]
             yield pa.RecordBatch.from_arrays([pa.array([first + number]), *lists], names=["slice", "docs", "pairs", "held", "doc", "times"])
 
     return rows.mapInArrow(run, SLICE)
