@@ -94,11 +94,13 @@ def enveloped(batches: DataFrame, plain: str = "plain") -> DataFrame:
 
 
 def decoded(envelopes: DataFrame) -> DataFrame:
-    """Adds packed (compressed bytes), plain (text) and reason (of the envelope's own stages, null if fine)."""
+    """Adds packed (compressed bytes), plain (text) and reason (of the envelope's own stages, null if fine). Where the
+    envelope's text is there (`envelope_json`), keys beyond the contract's make it invalid."""
+    keys = F.coalesce(F.json_object_keys("envelope_json"), F.array(F.lit(""))) if "envelope_json" in envelopes.columns else None
     strict = F.when(F.col("payload_base64").rlike(BASE64), F.try_to_binary("payload_base64", F.lit("base64")))
     out = envelopes.withColumn("packed", strict).withColumn("plain", F.decode(lz4_decode("packed"), "UTF-8"))
     reason = (
-        F.when(~envelope_ok(), "invalid_envelope").when(F.col("packed").isNull(), "invalid_base64").when(F.sha2("packed", 256) != F.col("payload_sha256_hex"), "payload_hash_mismatch")
+        F.when(~envelope_ok(keys), "invalid_envelope").when(F.col("packed").isNull(), "invalid_base64").when(F.sha2("packed", 256) != F.col("payload_sha256_hex"), "payload_hash_mismatch")
         .when(F.col("plain").isNull(), "corrupted_lz4_payload").when(F.json_object_keys("plain").isNull(), "invalid_json")
     )
     return out.withColumn("reason", reason)
@@ -271,7 +273,7 @@ def rules_hash(document: Column | str) -> Column:
 
 
 def quarantine_record(df: DataFrame, raw: str) -> DataFrame:
-    """What quarantine may keep of a payload: the hash of its text and at most fifty sorted top-level keys."""
-    return df.withColumn("payload_sha256", F.sha2(F.col(raw), 256)).withColumn("top_keys", F.slice(F.array_sort(F.json_object_keys(raw)), 1, 50)).drop(raw)
+    """What quarantine may keep of a payload: the hash of its canonical text and at most fifty sorted top-level keys."""
+    return df.withColumn("payload_sha256", F.sha2(F.coalesce(canonical_text(raw), F.col(raw)), 256)).withColumn("top_keys", F.slice(F.array_sort(F.json_object_keys(raw)), 1, 50)).drop(raw)
 
 

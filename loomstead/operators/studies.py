@@ -175,9 +175,11 @@ def paired_tests(diffs: DataFrame, diff: str, by: list[str] | None = None) -> Da
     decisive = F.col("wins") + F.col("losses")
     out = out.withColumn("rank_sum", F.coalesce("rank_sum", F.lit(0.0))).withColumn("p_wilcoxon", F.arrow_udf(_tests, "double")("rank_sum", decisive, "_ties"))
     low = F.least("wins", "losses")
-    # the smaller side's binomial tail, term by term as a running product
-    tail = F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.greatest(low, F.lit(1))), F.struct(F.lit(1.0).alias("c"), F.lit(1.0).alias("s")), lambda a, k: F.struct((a["c"] * (decisive - k + 1) / k).alias("c"), F.when(k <= low, a["s"] + a["c"] * (decisive - k + 1) / k).otherwise(a["s"]).alias("s")), lambda a: a["s"])
-    out = out.withColumn("p_sign", F.when(decisive > 0, F.least(F.lit(1.0), 2 * tail / F.pow(F.lit(2.0), decisive))))
+    # the smaller side's binomial tail, term by term: the logarithm of a term stays finite for any number of pairs
+    grown = lambda a, k: a["t"] + F.ln((decisive - k + 1) / k)
+    none = -decisive * F.ln(F.lit(2.0))
+    tail = F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.greatest(low, F.lit(1))), F.struct(none.alias("t"), F.exp(none).alias("s")), lambda a, k: F.struct(grown(a, k).alias("t"), F.when(k <= low, a["s"] + F.exp(grown(a, k))).otherwise(a["s"]).alias("s")), lambda a: a["s"])
+    out = out.withColumn("p_sign", F.when(decisive > 0, F.least(F.lit(1.0), 2 * tail)))
     signs = (F.col("n_pairs") - decisive > 0.5 * F.col("n_pairs")) | F.col("p_wilcoxon").isNull()
     return out.withColumn("test", F.when(signs, "sign").otherwise("wilcoxon")).withColumn("p_value", F.when(signs, F.col("p_sign")).otherwise(F.col("p_wilcoxon"))).drop("_ties")
 

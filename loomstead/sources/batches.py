@@ -51,18 +51,32 @@ def read_batches(spark: SparkSession, root: str, strict: bool = False, device_id
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(below, wholetext=True)
     path = F.col("_metadata.file_path")
     docs = files.where(~path.contains("/by_category/") & ~path.endswith(".meta.json")).select(F.col("value").alias("raw"))
+    return parsed(docs, strict)
+
+
+def parsed(docs: DataFrame, strict: bool = False) -> DataFrame:
+    """Documents (`raw` and other columns) with the columns of a batch; those without a required key, or that are no JSON
+    object, are left out, or stop a strict read."""
     keys = F.json_object_keys("raw")
     fine = F.coalesce((F.size(F.array_except(F.array(*[F.lit(k) for k in BATCH_KEYS]), keys)) == 0) & (F.get_json_object("raw", "$.record_type") == "collection"), F.lit(False))
     if strict:
         docs = docs.withColumn("raw", F.when(fine, F.col("raw")).otherwise(F.raise_error(F.lit("a batch lacks required keys"))))
     else:
         docs = docs.where(fine)
-    return docs.select("raw", F.from_json("raw", BATCH).alias("b")).select("raw", "b.*")
+    return docs.select("*", F.from_json("raw", BATCH).alias("_b")).select(*docs.columns, "_b.*")
+
+
+ENVELOPE = "algorithm string, payload_base64 string, payload_sha256_hex string, device_id string, batch_id string, rule_version string, rule_hash string, created_at_wall_millis bigint"
+
+
+def envelopes_of(texts: DataFrame, text: str = "value") -> DataFrame:
+    """Envelopes from their JSON texts, one a row: their fields, and the text as `envelope_json`, by which ingest sees keys
+    that an envelope must not have."""
+    return texts.select(F.col(text).alias("envelope_json"), F.from_json(text, ENVELOPE).alias("_e")).select("envelope_json", "_e.*")
 
 
 def read_envelopes(spark: SparkSession, root: str) -> DataFrame:
-    schema = "algorithm string, payload_base64 string, payload_sha256_hex string, device_id string, batch_id string, rule_version string, rule_hash string, created_at_wall_millis bigint"
-    return spark.read.schema(schema).option("multiLine", True).json(f"{root}/envelopes")
+    return envelopes_of(spark.read.text(f"{root}/envelopes", wholetext=True))
 
 
 def samples(batches: DataFrame) -> DataFrame:
@@ -82,8 +96,8 @@ def write_table(df: DataFrame, path: str, partition: str | None = None) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Rows with a header, in one part if they fit one; an empty frame leaves the header."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """A report: one part with a header. Reports are small; tables go to write_table."""
+    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:

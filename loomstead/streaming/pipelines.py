@@ -14,6 +14,9 @@ from ..operators.ingest import duplicates, quarantine_record, rated, status_of
 
 KEY = ["device_id", "day", "batch_id"]
 
+#: Fields of the envelope that a stored batch keeps.
+ENVELOPE_FIELDS = ["algorithm", "payload_sha256_hex", "rule_version", "rule_hash", "created_at_wall_millis"]
+
 #: Reasons for which a document goes to quarantine: it could be read, but breaks the contract.
 QUARANTINED = ["schema_validation_failed", "envelope_batch_device_id_mismatch", "envelope_batch_id_mismatch"]
 
@@ -23,53 +26,73 @@ def _exists(spark, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def fan_out(micro: DataFrame, number: int, batch_schema: str, root: str, checks=None) -> None:
-    """One micro-batch of envelopes into the tables below `root`: batches (with what a sidecar holds), idx_devices,
-    idx_batches, errors, quarantine, log. Each table has a folder of the micro-batch, written over on a replay, so a
-    replay leaves every table as it was. Stored keys are read for the micro-batch's own days only."""
-    spark = micro.sparkSession
+def judged_with_table(all_: DataFrame, number: int, root: str) -> DataFrame:
+    """Outcomes of a micro-batch's rows, against the stored keys of the micro-batch's own days."""
+    spark = all_.sparkSession
+    good = duplicates(all_.where("reason IS NULL"), KEY, ["created_at_wall_millis", "content"], "content")
+    if _exists(spark, f"{root}/batches"):
+        days = F.broadcast(all_.where("reason IS NULL").select("day").distinct())  # a micro-batch spans few days
+        held = spark.read.parquet(f"{root}/batches").where(F.col("micro") != number).withColumn("day", F.col("day").cast("string"))
+        held = held.join(days, "day", "left_semi").select(*KEY, F.col("content").alias("held"))
+        good = good.join(held, KEY, "left")
+        good = good.withColumn("outcome", F.when(F.col("held").isNull(), F.col("outcome")).when(F.col("held") == F.col("content"), "duplicate").otherwise("conflict")).drop("held")
+    return good.unionByName(all_.where("reason IS NOT NULL").withColumn("outcome", F.lit("rejected")))
+
+
+def with_request(rows: DataFrame) -> DataFrame:
+    """Adds request_id and the payload's sizes to rated envelopes."""
+    request = F.sha2(F.concat_ws(":", "payload_sha256_hex", "created_at_wall_millis", "device_id", "batch_id"), 256)
+    return rows.withColumns({"request_id": request, "compressed_size_bytes": F.length("packed").cast("bigint"), "decompressed_size_bytes": F.octet_length("plain").cast("bigint")})
+
+
+def write_outcomes(judged: DataFrame, number: int, root: str) -> None:
+    """The tables below `root` from the judged rows of a micro-batch; it is written over on a replay."""
     prefix = F.left("device_id", F.lit(8))
-    all_ = rated(micro, batch_schema, checks).withColumn("request_id", F.sha2(F.concat_ws(":", "payload_sha256_hex", "created_at_wall_millis", "device_id", "batch_id"), 256)).persist()
     put = lambda df, name, **by: df.write.mode("overwrite").parquet(f"{root}/{name}/micro={number}", **by)
+    reason = F.when(F.col("outcome") == "conflict", "duplicate_batch_id_conflict").otherwise(F.col("reason"))
+    rows = judged.withColumn("reason", reason).persist()
     try:
-        good = duplicates(all_.where("reason IS NULL"), KEY, ["created_at_wall_millis", "content"], "content")
-        if _exists(spark, f"{root}/batches"):
-            days = F.broadcast(all_.where("reason IS NULL").select("day").distinct())  # a micro-batch spans few days
-            held = spark.read.parquet(f"{root}/batches").where(F.col("micro") != number).withColumn("day", F.col("day").cast("string"))
-            held = held.join(days, "day", "left_semi").select(*KEY, F.col("content").alias("held"))
-            good = good.join(held, KEY, "left")
-            good = good.withColumn("outcome", F.when(F.col("held").isNull(), F.col("outcome")).when(F.col("held") == F.col("content"), "duplicate").otherwise("conflict"))
-        good = good.persist()
-        conflicts = good.where("outcome = 'conflict'").withColumn("reason", F.lit("duplicate_batch_id_conflict"))
-        failed = all_.where("reason IS NOT NULL").unionByName(conflicts.select(all_.columns))
-        stored = good.where("outcome = 'stored'")
+        failed, stored = rows.where("reason IS NOT NULL"), rows.where("outcome = 'stored'")
         now = F.unix_millis(F.current_timestamp()).alias("ingested_at_wall_millis")
         category = F.get_json_object("plain", "$.task_category").alias("task_category")
-        sizes = [F.length("packed").alias("compressed_size_bytes"), F.octet_length("plain").alias("decompressed_size_bytes")]
         put(failed.select("request_id", "reason", status_of("reason").alias("status"), prefix.alias("device_prefix"), "batch_id"), "errors")
         quarantined = failed.where(F.col("reason").isin(QUARANTINED)).select("request_id", "reason", "plain")
         put(quarantine_record(quarantined, "plain"), "quarantine")
         put(stored.select("device_id").distinct().withColumn("device_id_prefix", prefix), "idx_devices")
         put(stored.select("device_id", prefix.alias("device_id_prefix"), "batch_id", "day", F.get_json_object("plain", "$.collection_source").alias("collection_source"), category), "idx_batches", partitionBy="task_category")
-        event = F.when(F.col("outcome") == "stored", "stored").otherwise("duplicate")
-        put(good.where("outcome <> 'conflict'").select("request_id", event.alias("event"), F.lit(200).alias("status")).union(failed.select("request_id", F.col("reason").alias("event"), status_of("reason"))), "log")
-        put(stored.select(*KEY, "content", "plain", "request_id", now, *sizes, F.lit("ok").alias("schema_validation_result")), "batches", partitionBy="day")
-        good.unpersist()
+        put(rows.select("request_id", F.coalesce("reason", "outcome").alias("event"), status_of("reason").alias("status")), "log")
+        # what a sidecar holds: the envelope's own fields, sizes, the time of ingest, the result of the checks
+        put(stored.select(*KEY, "content", "plain", "request_id", now, *ENVELOPE_FIELDS, "compressed_size_bytes", "decompressed_size_bytes", F.lit("ok").alias("schema_validation_result")), "batches", partitionBy="day")
+    finally:
+        rows.unpersist()
+
+
+def fan_out(micro: DataFrame, number: int, batch_schema: str, root: str, checks=None) -> None:
+    """One micro-batch of envelopes into the tables below `root`: batches (with what a sidecar holds), idx_devices,
+    idx_batches, errors, quarantine, log. Each table has a folder of the micro-batch, written over on a replay, so a
+    replay leaves every table as it was. Stored keys are read for the micro-batch's own days only."""
+    all_ = with_request(rated(micro, batch_schema, checks)).persist()
+    try:
+        write_outcomes(judged_with_table(all_, number, root), number, root)
     finally:
         all_.unpersist()
 
 
+def numbers_of(checkpoint: str) -> int:
+    """Where the numbers of a checkpoint's micro-batches begin, so that two streams share a root."""
+    from hashlib import sha256
+
+    return int(sha256(checkpoint.encode()).hexdigest()[:6], 16) << 24
+
+
 def ingest_envelopes(envelopes: DataFrame, batch_schema: str, checks, root: str, checkpoint: str):
     """Start a query over a stream of envelopes whose micro-batches fan out to the tables below `root`.
 
     `checks` is a boolean column over the parsed struct `batch` (None: the whole contract). A batch's key is device,
     UTC day of its start and id; the first arrival stays, one of the same canonical text adds nothing, another one is
-    a conflict. Micro-batches of one checkpoint are numbered; a second stream needs a root of its own number range,
-    so the folder name holds the checkpoint too.
+    a conflict. `keyed_ingest` keeps the keys in state instead of reading them from the stored table.
     """
-    from hashlib import sha256
-
-    offset = int(sha256(checkpoint.encode()).hexdigest()[:6], 16) << 24
+    offset = numbers_of(checkpoint)
     return envelopes.writeStream.foreachBatch(lambda micro, n: fan_out(micro, offset + n, batch_schema, root, checks)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
