@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, prefix_sums, span_hashes
+from .common import MIX1, cut, mix, prefix_sums, span_hashes
 from .text_stats import SPACES
 
 #: Characters that a block needs to be deleted.
@@ -136,15 +136,31 @@ def common_blocks(a: list, b: list, sizes: list[int], solid: list[bool], least:
                 run = []
         used_a, used_b = {i for i, _ in found}, {j for _, j in found}
         left_a, left_b = [i for i in left_a if i not in used_a], [j for j in left_b if j not in used_b]
-    starts, ends = shortest_runs(np.array(sizes), np.array(solid, bool), least)
-    open_ = [(i, j) for i, j in zip(starts.tolist(), ends.tolist()) if not drop.issuperset(range(i, j))]
-    if open_:
-        lengths = {j - i for i, j in open_}
-        held = {n: {tuple(b[i : i + n]) for i in range(len(b) - n + 1)} for n in lengths}
-        for i, j in open_:
-            if tuple(a[i:j]) in held[j - i]:
-                drop.update(range(i, j))
-    return sorted(drop)
+    gone = np.zeros(len(a) + 1, np.int64)
+    gone[list(drop)] = 1
+    if a and b:
+        _last_look(a, b, np.array(sizes), np.array(solid, bool), least, gone)
+    return np.flatnonzero(gone[:-1]).tolist()
+
+
+def _last_look(a: list, b: list, sizes: np.ndarray, solid: np.ndarray, least: int, gone: np.ndarray) -> None:
+    """Mark the shortest runs of a that stand in b too. Which runs are shortest follows from their own lines, so those of b
+    are all that can be equal: both sides have two runs a line at most, compared by hashes from prefix sums."""
+    code: dict = {}
+    at_a, at_b = (np.array([code.setdefault(x, len(code)) for x in lines], np.int64) for lines in (a, b))
+    size_of, solid_of = np.zeros(len(code), np.int64), np.zeros(len(code), bool)
+    size_of[at_a], solid_of[at_a] = sizes, solid  # a line that only b has is in no common run
+    hashed = []
+    for at in (at_a, at_b):
+        start, end = shortest_runs(size_of[at], solid_of[at], least)
+        hashed.append((start, end, span_hashes(prefix_sums(mix(at.astype(np.uint64) + MIX1)), start, end)))
+    (start, end, own), (_, _, other) = hashed
+    upto = np.concatenate(([0], np.cumsum(gone[:-1])))
+    found = (upto[end] - upto[start] < end - start) & np.isin(own, other)
+    depth = np.zeros(len(a) + 1, np.int64)
+    np.add.at(depth, start[found], 1)
+    np.add.at(depth, end[found], -1)
+    gone[np.cumsum(depth) > 0] = 1
 
 
 def _keys(sequences: DataFrame, least: int) -> DataFrame:
