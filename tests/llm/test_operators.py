@@ -4,6 +4,7 @@ and against brute force on a small fixture."""
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -712,3 +713,33 @@ def test_texts_longer_than_a_numpy_pass(spark):
     media = media_columns.media_columns(frame.where("doc_id = 1"), stored=False).first()
     padded = long.encode() + bytes(-len(long) % 64)
     assert media.payload_sha256 == hashlib.sha256(padded).hexdigest() and media.n_samples == len(padded) // 64
+
+
+def test_line_dedup_of_many_blank_lines(spark):
+    """A hundred thousand blank lines between short ones: the last look is linear in the lines."""
+    import random
+
+    r = random.Random(5)
+    short = lambda: f"word {r.randrange(40)}"
+    texts = ["\n".join(short() if r.random() < 0.1 else "" for _ in range(100_000)) for _ in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    began = time.time()
+    out = {r.doc_id: r for r in line_dedup.line_dedup(docs).collect()}
+    assert time.time() - began < 90 and out[0]._n_removed == 0
+    lines, other = texts[1].split("\n"), texts[0].split("\n")
+    start, end = line_dedup.shortest_runs(np.array([len(x) for x in lines]), np.array([bool(x) for x in lines]), 60)
+    start2, end2 = line_dedup.shortest_runs(np.array([len(x) for x in other]), np.array([bool(x) for x in other]), 60)
+    held = {"\n".join(other[a:b]) for a, b in zip(start2.tolist(), end2.tolist())}
+    gone = {i for a, b in zip(start.tolist(), end.tolist()) if "\n".join(lines[a:b]) in held for i in range(a, b)}
+    assert out[1]._n_removed == len(gone)
+
+
+def test_suffix_dedup_of_many_copies_without_a_key(spark):
+    """Ten thousand rows of one text under no key: a place of the text meets each row once, not each row each other."""
+    text = "".join(f"clause {i} of the licence; " for i in range(20))
+    rows = [(None, text)] * 10_000 + [(1, text[:300]), (2, "nothing shared")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    began = time.time()
+    out = suffix_dedup.suffix_dedup(docs).groupBy("doc_id", "n_bytes", "n_removed").count().collect()
+    assert time.time() - began < 90
+    assert sorted(tuple(-1 if x is None else x for x in r) for r in out) == sorted([(-1, len(text), len(text), 10_000), (1, 300, 300, 1), (2, 14, 0, 1)])
