@@ -203,8 +203,9 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     runs = cut(runs.drop("times").join(often, "key"))
     context = F.substring(F.col("text").cast("binary"), F.col("start") + 1, F.col("n") + (length - 1))
     # rows that repeat key and text have the same places: one of them for all, which then meets each of the rows once
-    places = runs.repartition("id", "th").dropDuplicates(["id", "th", "key", "start"])
-    placed = places.join(docs, ["id", "th"]).select("key", "held", "id", "th", "start", context.alias("context")).withColumn("ch", F.xxhash64("context"))
+    if not docs.groupBy("id", "th").agg(F.count(F.lit(1)).alias("m")).where("m > 1").isEmpty():
+        runs = runs.dropDuplicates(["id", "th", "key", "start"])
+    placed = runs.join(docs, ["id", "th"]).select("key", "held", "id", "th", "start", context.alias("context")).withColumn("ch", F.xxhash64("context"))
     counted = lambda rows: rows.groupBy("key", "ch").agg(F.count(F.lit(1)).alias("times"), F.first("context").alias("context"))
     found = _hot_repeats(counted(placed.where(f"held > {hot}")), counted(placed.where(f"held <= {hot}")), length, hot)
     spans = placed.select("key", "ch", "id", "th", "start").join(found, ["key", "ch"])
