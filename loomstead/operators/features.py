@@ -93,7 +93,8 @@ def spectrum_of(values: np.ndarray, rate: float) -> list[float]:
     p = power / total
     some = p[p > 0]
     bands = [float(p[(freq >= a) & (freq < b)].sum()) for a, b in ((0, 3), (3, 8), (8, 15))]
-    return [float(freq[int(power.argmax())]), float((freq * p).sum()), float(-(some * np.log(some)).sum()), *bands]
+    # powers that differ by rounding only are equal, and the lowest of equal frequencies counts
+    return [float(freq[int(np.round(p, 9).argmax())]), float((freq * p).sum()), float(-(some * np.log(some)).sum()), *bands]
 
 
 def spectra(df: DataFrame, keys: list[str], order: list[str], x: str, rate: float) -> DataFrame:

@@ -93,7 +93,16 @@ def event_counts_rate_entropy(spark, sf_dir):
     return rounded(X.event_mix(windows(spark, sf_dir), ["device", "window_index"], "kind", KINDS, 24.0), "rate", "entropy")
 
 
-@register("spectral_features", "F6")
+#: The Fourier sums of every window's mean-free values, written out.
+SPECTRA = f"""{WIN}, v AS (SELECT device, window_index, value::DOUBLE - avg(value::DOUBLE) OVER g AS x, row_number() OVER (PARTITION BY device, window_index ORDER BY wall, event_id) - 1 AS t, count(*) OVER g AS n FROM wi WINDOW g AS (PARTITION BY device, window_index)),
+pw AS (SELECT device, window_index, n, k, pow(sum(x * cos(2 * pi() * k * t / n)), 2) + pow(sum(x * sin(2 * pi() * k * t / n)), 2) AS p FROM v, UNNEST(range(0, n // 2 + 1)) AS u(k) GROUP BY ALL),
+sh AS (SELECT device, window_index, n, k, k * (1.0 / (n * (1.0 / 50.0))) AS f, p / nullif(sum(p) OVER g, 0) AS q, sum(p) OVER g AS total FROM pw WINDOW g AS (PARTITION BY device, window_index)),
+sp AS (SELECT device, window_index, first(f ORDER BY round(q, 9) DESC, k) AS domfreq, sum(f * q) AS speccentroid, -sum(CASE WHEN q > 0 THEN q * ln(q) ELSE 0 END) AS specentropy,
+ sum(CASE WHEN f < 3 THEN q ELSE 0 END) AS band0_3, sum(CASE WHEN f >= 3 AND f < 8 THEN q ELSE 0 END) AS band3_8, sum(CASE WHEN f >= 8 AND f < 15 THEN q ELSE 0 END) AS band8_15, any_value(n) AS n, any_value(total) AS total FROM sh GROUP BY ALL)
+SELECT device, window_index, """ + ", ".join(f"CASE WHEN n < 2 OR total < 1e-12 THEN 0.0 ELSE {r(c)} END AS {c}" for c in X.SPECTRUM) + " FROM sp"
+
+
+@register("spectral_features", "F6", f"WITH {SPECTRA}")
 def spectral_features(spark, sf_dir):
     return rounded(X.spectra(windows(spark, sf_dir), ["device", "window_index"], ["wall", "event_id"], "value", 50.0), *X.SPECTRUM)
 

@@ -43,7 +43,7 @@ def dedupe_conflict(spark, sf_dir):
     return I.duplicates(d, ["lang", "n_chars"], ["doc_id"], "content").select("doc_id", "outcome")
 
 
-@register("quarantine_record", "S17", "SELECT event_id, sha256(props) AS payload_sha256, array_to_string(list_sort(json_keys(props))[1:50], ',') AS top_keys FROM events")
+@register("quarantine_record", "S17", "SELECT event_id, sha256(json(props)::VARCHAR) AS payload_sha256, array_to_string(list_sort(json_keys(props))[1:50], ',') AS top_keys FROM events")
 def quarantine_record(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "props")
     return I.quarantine_record(e, "props").select("event_id", "payload_sha256", F.array_join("top_keys", ",").alias("top_keys"))
