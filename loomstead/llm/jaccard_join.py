@@ -294,20 +294,35 @@ def _second_stars(split: DataFrame) -> DataFrame:
     return meet.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
 
 
+def _near(num: int, den: int) -> str:
+    """Condition that the sketches of x and y do not rule a link out: first those folded to FOLD bits, whose differences
+    saturate in sets of more elements, then the whole ones, the longer folded once to the length of the shorter."""
+    most = f"floor((x.n + y.n) * {den - num} / {den + num})"
+    folded = " + ".join(f"bit_count(x.s{i} ^ y.s{i})" for i in range(FOLD // 64))
+    total = "aggregate({}, 0, (s, v) -> s + v)".format
+    same = total("zip_with(x.deep, y.deep, (p, q) -> bit_count(p ^ q))")
+    once = lambda a, b: total(f"transform({b}.deep, (q, i) -> bit_count(q ^ {a}.deep[i] ^ {a}.deep[i + size({b}.deep)]))")
+    whens = [
+        f"WHEN size(x.deep) = size(y.deep) THEN {same} <= {most}",
+        f"WHEN size(x.deep) = 2 * size(y.deep) THEN {once('x', 'y')} <= {most}",
+        f"WHEN size(y.deep) = 2 * size(x.deep) THEN {once('y', 'x')} <= {most}",
+    ]
+    return f"coalesce({folded} <= {most}, true) AND CASE WHEN x.deep IS NULL OR y.deep IS NULL THEN true {' '.join(whens)} ELSE true END"
+
+
 def _unresolved(split: DataFrame, names: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of members of one split group that are in different components and that sketches do not rule out.
 
-    Two sets differ in no fewer elements than their folded parity sketches differ in bits. Where that is more than linked
-    sets may differ in, the pair is left out by the join's condition. A pair that meets under several keys comes from
-    the smallest of them.
+    Two sets differ in no fewer elements than their parity sketches differ in bits, folded or whole. Where that is more
+    than linked sets may differ in, the pair is left out by the join's condition. A pair that meets under several keys
+    comes from the smallest of them.
     """
     left = cut(split)
-    folds = names.select("id", F.col("hi").alias("n"), *[F.col("fold")[i].alias(f"s{i}") for i in range(FOLD // 64)])
+    deep = F.when(F.size("sketch") > FOLD // 64, F.col("sketch")).alias("deep")
+    folds = names.select("id", F.col("hi").alias("n"), *[F.col("fold")[i].alias(f"s{i}") for i in range(FOLD // 64)], deep)
     left = left.join(left.groupBy("id").agg(F.collect_set("key").alias("keys")), "id").join(folds, "id")
     x, y = left.alias("x"), left.alias("y")
-    bits = " + ".join(f"bit_count(x.s{i} ^ y.s{i})" for i in range(FOLD // 64))
-    near = f"coalesce({bits} <= floor((x.n + y.n) * {den - num} / {den + num}), true)"
-    meet = x.join(y, F.expr(f"x.key = y.key AND x.id < y.id AND x.label <> y.label AND {near} AND array_min(array_intersect(x.keys, y.keys)) = x.key"))
+    meet = x.join(y, F.expr(f"x.key = y.key AND x.id < y.id AND x.label <> y.label AND {_near(num, den)} AND array_min(array_intersect(x.keys, y.keys)) = x.key"))
     return meet.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
