@@ -1,8 +1,9 @@
 """Secret scan (operator 2): candidate strings, features of each and its surroundings, and a random forest
 that removes false positives.
 
-A candidate is a run of 16 or more characters of `[A-Za-z0-9+/_=-]` with a digit, inside one word, or a value of any kind
-of four or more characters that is assigned to a name like password or token, however short or plain. Features: length,
+A candidate is a run of 16 or more characters of `[A-Za-z0-9+/_=-]` with a digit (without one too behind "token is"),
+inside one word, or a value of any kind of four or more characters that is assigned to a name like password or token,
+however short or plain, or that stands as the password of an address. A run that covers an assigned value is none of its own. Features: length,
 shares of digits, capitals and other characters, distinct characters, character transitions and how likely they are
 in words, dictionary coverage, signs of a path or address, the path of the file, and what the neighbouring words say.
 Word likeness comes from the corpus itself: letter pairs of all its words (26 x 26 numbers), and the DICTIONARY words
@@ -45,6 +46,8 @@ EXAMPLE_PATHS = "test|spec|mock|fixture|example|sample|docs?/|readme|lock"
 IN_WORD = f"(?i)(?:{SECRET_WORDS})[A-Za-z0-9_\\-]*[\"'`\\]]*(?::=|=>|==|[:=])[\"'`(]*([^\"'`()\\[\\];,]{{4,}})"
 NAMES = f"(?i)(?:{SECRET_WORDS})[A-Za-z0-9_\\-]*[\"'`\\]]*"
 ASSIGNS = ":=|=>|==|[:=]"
+#: The password of an address: scheme, user, colon, value (a pattern).
+IN_ADDRESS = "://[^/\\s:@]*:([^/\\s@]{4,})@"
 VALUE = "^[\"'`(]*([^\"'`()\\[\\];,]{4,})"
 
 
@@ -79,6 +82,16 @@ def corpus_words(docs: DataFrame, text: str = "text", most: int = DICTIONARY) ->
     return Words([math.log(x / sum(row)) for row in table for x in row], frequent)
 
 
+def _in_dictionary(part: Column, words: list[str]) -> Column:
+    """Whether a part of letters is one of the words: only those of its first two letters are looked through."""
+    groups = [","] * (26 * 26)
+    for w in words:
+        at = (ord(w[0]) - 97) * 26 + ord(w[1]) - 97
+        groups[at] += w + ","
+    at = (F.ascii(part) - 97) * 26 + F.ascii(F.substring(part, 2, 1)) - 96
+    return F.when(F.length(part) >= 4, F.element_at(_listed(groups), at).contains(F.concat(F.lit(","), part, F.lit(",")))).otherwise(False)
+
+
 def _likelihood(c: Column, words: Words) -> Column:
     """Mean log probability of the letter pairs in the candidate's letter runs; that of even letters without any."""
     table = _listed([repr(x) for x in words.pairs]).cast("array<double>")
@@ -100,7 +113,7 @@ def with_features(found: DataFrame, words: Words) -> tuple[DataFrame, list[str]]
     head = F.expr("substring_index(word, candidate, 1)")
     near = F.lower(F.concat_ws(" ", "before1", head))
     parts = F.split(F.lower(F.regexp_replace(c, "([a-z])([A-Z])", "$1 $2")), "[^a-z]+")
-    known = F.filter(parts, lambda x: F.array_contains(_listed(words.frequent), x))
+    known = F.filter(parts, lambda x: _in_dictionary(x, words.frequent))
     features = {
         "size": size,
         "digits": digits / size,
@@ -138,9 +151,9 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     where = F.coalesce(F.col(f"`{path}`").cast("string"), F.lit("")) if path else F.lit("")
     speaks = F.col("_t").rlike(f"(?i){SECRET_WORDS}")
-    words = docs.select(F.col(f"`{key}`").alias("_id"), where.alias("path"), t.alias("_t")).where(F.col("_t").rlike("[0-9]") | speaks).select("_id", "path", speaks.alias("_speaks"), F.split("_t", SPACE_CLASS + "+").alias("w"))
+    words = docs.select(F.col(f"`{key}`").alias("_id"), where.alias("path"), t.alias("_t")).where(F.col("_t").rlike("[0-9]") | speaks | F.col("_t").rlike(IN_ADDRESS)).select("_id", "path", speaks.alias("_speaks"), F.split("_t", SPACE_CLASS + "+").alias("w"))
     at = lambda i: F.coalesce(F.try_element_at("w", F.when(i > 0, i)), F.lit(""))  # noqa: E731  1-based, empty outside
-    long_ = F.filter(F.transform("w", lambda x, i: F.when((F.length(x) >= 16) & x.rlike("[0-9]"), i)), lambda i: i.isNotNull())
+    long_ = F.filter(F.transform("w", lambda x, i: F.when((F.length(x) >= 16) & x.rlike("[0-9]") | x.rlike(IN_ADDRESS), i)), lambda i: i.isNotNull())
     names = F.filter(F.transform("w", lambda x, i: F.when(x.rlike(f"(?i){SECRET_WORDS}"), i)), lambda i: i.isNotNull())
     marked = words.select("_id", "path", "w", long_.alias("_long"), F.when(F.col("_speaks"), names).otherwise(F.array().cast("array<int>")).alias("_names"))
     # a value stands in its name's word, in the next one, or behind a lone sign of assignment
@@ -150,9 +163,15 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
     pick = lambda d: at(F.col("i") + 1 + d)
     near = each.select("_id", F.col("i").cast("bigint").alias("word_index"), "path", pick(0).alias("word"), pick(-3).alias("before3"), pick(-2).alias("before2"), pick(-1).alias("before1"), pick(1).alias("after1"))
     named = F.col("before1").rlike(f"^(?:{ASSIGNS})$") & F.col("before2").rlike(f"{NAMES}$") | F.col("before1").rlike(f"{NAMES}(?:{ASSIGNS})$")
-    value = F.when(F.regexp_extract("word", IN_WORD, 1) != "", F.regexp_extract("word", IN_WORD, 1)).when(named, F.regexp_extract("word", VALUE, 1))
+    first_of = lambda p: F.when(F.regexp_extract("word", p, 1) != "", F.regexp_extract("word", p, 1))
+    value = F.coalesce(first_of(IN_WORD), first_of(IN_ADDRESS))
+    value = F.when(value.isNotNull(), value).when(named, F.regexp_extract("word", VALUE, 1))
     near = near.withColumn("_value", F.when(value != "", value))
-    runs = F.filter(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0)), lambda x: x.rlike("[0-9]") & ~F.coalesce(F.col("_value").contains(x), F.lit(False)))
+    said = F.lower("before1").isin("is", "is:") & F.col("before2").rlike(f"{NAMES}$")
+    # a run lies in the value, or comes up to it through the sign of assignment
+    front = F.regexp_extract("_value", "^[A-Za-z0-9+/_=\\-]+", 0)
+    covers = lambda x: F.col("_value").contains(x) | ((front != "") & x.contains(F.concat(F.lit("="), front)))
+    runs = F.filter(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0)), lambda x: (x.rlike("[0-9]") | said) & ~F.coalesce(covers(x), F.lit(False)))
     given = F.when(F.col("_value").isNull(), F.array().cast("array<string>")).otherwise(F.array("_value"))
     found = near.select("*", F.posexplode(F.concat(given, runs)).alias("nth", "candidate"))
     return found.withColumn("assigned", F.coalesce((F.col("nth") == 0) & F.col("_value").isNotNull(), F.lit(False))).drop("_value").withColumnRenamed("_id", key)
@@ -172,7 +191,7 @@ def labelled_findings(spark: SparkSession, n: int = TRAINING, seed: int = SEED,
     name = one_of("n", "token", "api_key", "secret", "password", "auth_token", "ACCESS_KEY", "client_secret")
     hexes = F.substring(F.concat(sha("h"), sha("h2")), 1, one_of("hs", 32, 40, 40, 64))
     uuid = F.regexp_replace(sha("u"), "^(.{8})(.{4})(.{4})(.{4})(.{12}).*$", "$1-$2-$3-$4-$5")
-    kind = F.col("id") % 22
+    kind = F.col("id") % 24
     cased = F.when(r("case") % 5 == 0, F.upper(hexes)).otherwise(hexes)
     short = F.concat(b64("pw", 5), one_of("ps", "!", "$", "%", "#", "*", "."), b64("pw2", 4), (r("pn") % 90 + 10).cast("string"))
     joint = one_of("pj", "-", ".", "_")
@@ -184,17 +203,20 @@ def labelled_findings(spark: SparkSession, n: int = TRAINING, seed: int = SEED,
         .when(kind == 11, uuid).when(kind == 12, F.substring(sha("c"), 1, 40)).when(kind == 13, F.concat(F.lit("/assets/static/"), slug, F.lit("/img_"), number("im", 8), F.lit(".png")))
         .when(kind == 14, F.concat(F.lit("user"), number("em", 14), F.lit("@mail.example.com"))).when(kind.isin(15, 16), short).when(kind == 17, phrase)
         .when(kind == 18, one_of("pl", "none", "null", "required", "your_password", "<password>", "${SECRET}", "xxxxxxxx", "os.environ", "example", "********")).when(kind == 19, word("pv"))
-        .when(kind == 20, F.concat(word("k1"), F.lit("."), word("k2"))).otherwise(F.concat(slug, F.lit("-"), slug))
+        .when(kind == 20, F.concat(word("k1"), F.lit("."), word("k2"))).when(kind == 22, F.when(r("ud") % 2 == 0, b64("up", 12)).otherwise(F.concat(b64("up", 6), one_of("us", "!", "$", "*", "."), b64("up2", 4))))
+        .when(kind == 23, one_of("uh", "password", "password", "xxxx", "example", "<password>", "${PASSWORD}", "changeme", "secret", "********")).otherwise(F.concat(slug, F.lit("-"), slug))
     )
     filler = lambda k: F.when(r(k) % 2 == 0, word(k + "w")).otherwise(one_of(k, "the", "of", "and", "in", "x", "a", "|"))
-    form, secret, assigned = r("form") % 4, (kind < 8) | kind.isin(15, 16, 17), kind.between(15, 20)
+    form, secret, assigned = r("form") % 4, (kind < 8) | kind.isin(15, 16, 17, 22), kind.between(15, 20)
+    in_address = kind.isin(22, 23)
     form = F.when(assigned & (form == 2), 3).otherwise(form)
     behind = kind.isin(8, 9, 10, 13, 21) & (form == 3)  # what follows a secret is none for that
-    before3 = F.when(secret & (form == 3), F.concat(F.lit("my "), name)).when(behind, name).otherwise(filler("f3"))
-    before2 = F.when((secret | assigned) & (form < 2), name).when(behind, F.lit("=")).otherwise(filler("f2"))
-    before1 = F.when(behind, F.concat(F.lit('"'), hexes, F.lit('"'), one_of("bq", "", ";", "###"))).when((secret | assigned) & (form < 2), one_of("eq", "=", "=", ":", ":=")).when(secret & (form == 2), F.concat(name, F.lit(":"))).when(kind == 12, one_of("cm", "commit", "sha1", "checksum", "revision")).when(secret, F.lit("is")).otherwise(filler("f1"))
+    before3 = F.when(in_address, filler("f3")).when(secret & (form == 3), F.concat(F.lit("my "), name)).when(behind, name).otherwise(filler("f3"))
+    before2 = F.when(in_address, filler("f2")).when((secret | assigned) & (form < 2), name).when(behind, F.lit("=")).otherwise(filler("f2"))
+    before1 = F.when(in_address, one_of("ua", "connect", "url", "=", "to", "DATABASE_URL:", "at")).when(behind, F.concat(F.lit('"'), hexes, F.lit('"'), one_of("bq", "", ";", "###"))).when((secret | assigned) & (form < 2), one_of("eq", "=", "=", ":", ":=")).when(secret & (form == 2), F.concat(name, F.lit(":"))).when(kind == 12, one_of("cm", "commit", "sha1", "checksum", "revision")).when(secret, F.lit("is")).otherwise(filler("f1"))
+    address = F.concat(one_of("uc", "postgres", "mysql", "redis", "https", "amqp"), F.lit("://"), word("uu"), F.lit(":"), F.regexp_replace(value, "/", "x"), F.lit("@"), word("ud2"), one_of("ut", ".example.com", ":5432", ""), F.lit("/"), word("un"))
     wrapped = (
-        F.when((secret | assigned) & (form < 2) & (r("q") % 3 < 2), F.concat(F.lit('"'), value, F.lit('"'), one_of("t", "", "", ";", ",", "###")))
+        F.when(in_address, address).when((secret | assigned) & (form < 2) & (r("q") % 3 < 2), F.concat(F.lit('"'), value, F.lit('"'), one_of("t", "", "", ";", ",", "###")))
         .when((secret | assigned) & (form == 3), F.concat(name, F.lit("="), value)).otherwise(F.concat(value, one_of("t2", "", "", ".", ",", "!!")))
     )
     where = F.when(r("path") % 3 == 0, one_of("pp", "src/app.py", "deploy/prod.env", "config.yaml")).when((r("path") % 3 == 1) & ~secret, one_of("pt", "tests/test_app.py", "docs/readme.md", "yarn.lock")).otherwise("")

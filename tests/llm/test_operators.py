@@ -164,17 +164,22 @@ def candidates_of(text):
         b1, b2 = w[i - 1] if i else "", w[i - 2] if i > 1 else ""
         inside = re.search(plain(secret_scan.IN_WORD), x, re.I)
         value = inside[1] if inside else None
+        if not value and (there := re.search("://[^/\\s:@]*:([^/\\s@]{4,})@", x)):
+            value = there[1]
         if not value and (re.search(f"^(?:{secret_scan.ASSIGNS})$", b1) and re.search(plain(secret_scan.NAMES) + "$", b2, re.I) or re.search(plain(secret_scan.NAMES) + f"(?:{secret_scan.ASSIGNS})$", b1, re.I)):
             m = re.search(secret_scan.VALUE, x)
             value = m[1] if m else None
         out += [(i, value, True)] if value else []
-        if len(x) >= 16:
-            out += [(i, c, False) for c in re.findall(secret_scan.CANDIDATE, x) if re.search("[0-9]", c) and not (value and c in value)]
+        said = b1.lower() in ("is", "is:") and re.search(plain(secret_scan.NAMES) + "$", b2, re.I)
+        front = re.match("[A-Za-z0-9+/_=-]*", value or "")[0]
+        for c in re.findall(secret_scan.CANDIDATE, x):
+            if (said or re.search("[0-9]", c)) and not (value and c in value) and not (front and "=" + front in c):
+                out.append((i, c, False))
     return out
 
 
 def test_secret_candidates_by_brute_force(spark, docs):
-    extra = ['password = "hunter2!" x', "the token: abcd.efgh@ijk", "api_key=short1 and pwd:=zz", 'a["secret"]=>value9', "key = a", "token = deadbeefdeadbeef1234 token", "x" * 20 + "1", "my secret is in the auth", "password=", "= : token"]
+    extra = ['password = "hunter2!" x', "the token: abcd.efgh@ijk", "api_key=short1 and pwd:=zz", 'a["secret"]=>value9', "key = a", "token = deadbeefdeadbeef1234 token", "x" * 20 + "1", "my secret is in the auth", "password=", "= : token", "aws_secret_access_key=wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY end", "postgres://user:pa55w0rd@host/db", "see http://host:8080/a@b", "the token is abcdefghijklmnopqrst now", "the key is that", "my_token_a=b$cd ef", "secret=ab12cd,key_of_things=ab12cdef12345678"]
     rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None] + [(1000 + i, t) for i, t in enumerate(extra)]
     rows += [(r.doc_id + 10_000, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     found = secret_scan.candidates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
@@ -201,6 +206,19 @@ def test_secret_scan_finds_what_is_planted(spark):
     assert len(found - planted) <= 0.05 * len(planted)
 
 
+def test_one_candidate_a_value_and_passwords_of_addresses(spark):
+    rows = [(1, "aws_secret_access_key=wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY"), (2, "use postgres://user:pa55w0rd@host/db here"), (3, "token is abcdefghijklmnopqrst now")]
+    found = {(r.doc_id, r.candidate) for r in secret_scan.candidates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert found == {(1, "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY"), (2, "pa55w0rd"), (3, "abcdefghijklmnopqrst")}
+
+
+def test_words_of_the_dictionary_are_found_by_their_first_letters(spark):
+    known = ["there", "then", "article", "zone"]
+    rows = spark.createDataFrame([(w,) for w in [*known, "the", "thenx", "artic", "zon", "", "other", "them"]], "w string")
+    found = {r.w for r in rows.where(secret_scan._in_dictionary(F.col("w"), known)).collect()}
+    assert found == set(known)
+
+
 def test_secret_scan_keeps_numbers_and_links_out(spark):
     secret = hashlib.sha1(b"1").hexdigest()
     rows = [(1, f'token = "{secret}" and more'), (2, "call 4952935900253052 now"), (3, "see https://example.com/how-to-article-2024/page-123456 there"), (4, None), (5, ""), (6, 'password = "hX7!kq29" here'), (7, "password = required here"), (1, f'token = "{secret}" and more')]
