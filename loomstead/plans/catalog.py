@@ -30,4 +30,4 @@ def register(name: str, ops: str, sql: str | None = None):
     return enter
 
 
-from . import feature_queries, split_queries, stream_queries, study_queries, table_queries, verification_queries, version_queries  # noqa: E402,F401  the modules enter their queries above
+from . import feature_queries, split_queries, stream_queries, study_queries, sweep_queries, table_queries, verification_queries, version_queries  # noqa: E402,F401  the modules enter their queries above
