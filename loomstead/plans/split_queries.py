@@ -69,6 +69,12 @@ def matched_impostors(spark, sf_dir):
     return pairs_of(spark, sf_dir)[1]
 
 
+@register("stretched_impostors", "I1 I4", f"WITH {PAIRS} SELECT * FROM pr")
+def stretched_impostors(spark, sf_dir):
+    test = session_split(spark, sf_dir).withColumn("scene", F.col("kind")).withColumn("topk", F.array("kind", F.lit("view"))).where("split = 'test'")
+    return S.matched_impostors(test, test, "device", "event_id", "scene", "topk", parts=64)
+
+
 @register("leakage_audit", "I5 K1", f"""WITH {PAIRS} SELECT (SELECT max(n) <= 1 FROM (SELECT count(DISTINCT split) AS n FROM so GROUP BY session_id)) AS session_disjoint,
  (SELECT max(n) <= 1 FROM (SELECT count(DISTINCT split) AS n FROM so GROUP BY event_id)) AS row_disjoint, (SELECT bool_and(genuine_user <> impostor_user) FROM pr) AS users_differ,
  (SELECT count(*) = 0 FROM pr WHERE impostor_row NOT IN (SELECT event_id FROM t)) AS impostors_from_test""")

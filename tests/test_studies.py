@@ -1,3 +1,4 @@
+import hashlib
 import json
 import math
 
@@ -78,6 +79,20 @@ def test_next_impostors_go_round_without_repeats(spark):
         assert len(own) == 6 and len({p.impostor_row for p in own}) == 6 and all(p.impostor_user != p.genuine_user for p in own)
 
 
+@pytest.mark.parametrize("parts", [1, 4, 64])
+def test_ring_in_stretches_by_plain_search(spark, parts):
+    """One user holds most rows, so that its neighbours on the ring lie stretches away; a scene of one user has no pair."""
+    rows = [(i, "u0" if i % 11 else f"u{i % 4}", "s" if i % 5 else "t", ["s"]) for i in range(220)] + [(900 + i, "u9", "alone", ["none"]) for i in range(3)]
+    frame = spark.createDataFrame(rows, "row int, user string, scene string, top array<string>")
+    place = {r[0]: int(hashlib.sha256(f"42:{r[0]}".encode()).hexdigest()[:13], 16) for r in rows}
+    want = set()
+    for g, user, scene, _ in rows:
+        others = sorted(((place[r] - place[g]) % (1 << 52), r) for r, u, s, _ in rows if s == scene and u != user)
+        want |= {(g, r) for _, r in others[:1]}
+    pairs = S.matched_impostors(frame, frame, "user", "row", "scene", "top", parts=parts)
+    assert {(p.genuine_row, p.impostor_row) for p in pairs.where("matched_exact").collect()} == want
+
+
 def test_dataset_is_written_only_if_sound(spark, tmp_path):
     rows = [(f"u{u}", f"u{u}s{s}", f"d{s}", "app", f"u{u}s{s}w{w}", "I1", ["I1"]) for u in range(3) for s in range(5) for w in range(3)]
     frame = spark.createDataFrame(rows, "user_id string, session_id string, day_id string, package_bucket string, window_id string, weak_label_top1 string, weak_label_topk array<string>")
