@@ -52,12 +52,14 @@ def clip01(x: str | Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), col(x)))
 
 
-def guarded_corr(a: str, b: str) -> Column:
-    """Pearson correlation in [-1, 1]; 0 for fewer than two rows or a side without spread. An aggregate."""
+def guarded_corr(a: str | Column, b: str | Column) -> Column:
+    """Pearson correlation in [-1, 1]; 0 for fewer than two rows or a side without spread. An aggregate.
+
+    Bounded only where there is one: least() and greatest() pass over nulls."""
     spread = F.stddev_pop(a) * F.stddev_pop(b)
     flat = (F.count(a) < 2) | (F.stddev_pop(a) < 1e-12) | (F.stddev_pop(b) < 1e-12)
     r = F.when(~flat, F.covar_pop(a, b) / F.when(spread > 0, spread))
-    return F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)), F.lit(0.0))
+    return F.when(r.isNull(), 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
 def guarded_skew(x: str) -> Column:
