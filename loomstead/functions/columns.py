@@ -43,6 +43,14 @@ def half_even(x: Column) -> Column:
     return F.rint(x)
 
 
+def round_away(x: str | Column, digits: int) -> Column:
+    """A double to so many decimals, ties of the scaled value away from zero, as SQL engines round doubles. (Spark's own
+    round() looks at the decimal text of x, which parts from the scaled value near a tie.) Never a negative zero."""
+    value, scale = col(x).cast("double"), F.lit(float(10**digits))
+    scaled = F.round(value * scale) / scale
+    return F.when(F.abs(scaled) == float("inf"), value).otherwise(scaled) + F.lit(0.0)
+
+
 def quantize(x: str | Column, step: float) -> Column:
     """Nearest multiple of step, ties to the even one."""
     return F.rint(col(x) / F.lit(step)) * F.lit(step)

@@ -25,10 +25,11 @@ def time_stats(x: str, prefix: str) -> list[Column]:
 
 
 def crossings_and_jerk(df: DataFrame, keys: list[str], order: list[str], x: str) -> DataFrame:
-    """Per group: zcr (share of neighbours on different sides of the mean) and jerk (mean squared step)."""
-    group = Window.partitionBy(*keys)
-    ordered = group.orderBy(*order)
-    sided = df.withColumn("_side", (F.col(x) - F.avg(x).over(group)) < 0)
+    """Per group: zcr (share of neighbours on different sides of the mean) and jerk (mean squared step). Both means sum
+    in the rows' order, so the same rows give the same bits however they arrive."""
+    ordered = Window.partitionBy(*keys).orderBy(*order)
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sided = df.withColumn("_side", (F.col(x) - F.avg(x).over(whole)) < 0)
     steps = sided.withColumn("_turn", (F.col("_side") != F.lag("_side").over(ordered)).cast("double")).withColumn("_step", F.col(x) - F.lag(x).over(ordered))
     return steps.groupBy(*keys).agg(F.coalesce(F.avg("_turn"), F.lit(0.0)).alias("zcr"), F.coalesce(F.avg(F.col("_step") * F.col("_step")), F.lit(0.0)).alias("jerk"))
 

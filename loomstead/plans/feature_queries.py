@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import guarded_corr, hash_number, quantize
+from ..functions.columns import guarded_corr, hash_number, quantize, round_away
 from ..operators import features as X
 from ..operators import scene_rules as R
 from .catalog import register
@@ -16,8 +16,8 @@ _M = "count({x}) OVER w"
 
 
 def rounded(df, *names, digits=6):
-    """Round these columns; adding 0 turns a negative zero into zero."""
-    return df.select(*[(F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if c in names else F.col(c) for c in df.columns])
+    """Round these columns."""
+    return df.select(*[round_away(c, digits).alias(c) if c in names else F.col(c) for c in df.columns])
 
 
 def r(x, digits=6):

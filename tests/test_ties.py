@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from loomstead.functions.columns import guarded_corr
+from loomstead.functions.columns import guarded_corr, round_away
 from loomstead.operators import features as X
 
 
@@ -11,3 +11,17 @@ def test_one_pair_has_no_correlation(spark):
     out = {r.g: r["corr"] for r in X.positional_corr(df, ["g"], "kind", ["t"], "v", "a", "b").collect()}
     assert out[1] == 0.0 and round(out[2], 9) == -1.0
     assert df.where("g = 2 AND kind = 'a'").agg(guarded_corr("v", F.lit(3.0)).alias("c")).first().c == 0.0
+
+
+def test_rounds_the_scaled_value(spark):
+    # 1.005 * 100 is below the tie, 2.675 * 100 is on it
+    df = spark.createDataFrame([(1.005,), (2.675,), (-0.125,), (-0.001,), (1e307,), (None,), (float("nan"),)], "x double")
+    got = [r.y for r in df.select(round_away("x", 2).alias("y")).collect()]
+    assert str(got[:6]) == str([1.0, 2.68, -0.13, 0.0, 1e307, None]) and got[6] != got[6]
+
+
+def test_sides_do_not_depend_on_arrival(spark):
+    # the mean is 0.2; in this order the sum is 0.6000000000000001, in the reverse 0.6
+    rows = [(1, 1, 0.1), (1, 2, 0.2), (1, 3, 0.3)]
+    one, other = ([X.crossings_and_jerk(spark.createDataFrame(r, "g int, t int, v double").coalesce(1), ["g"], ["t"], "v").first() for r in (rows, rows[::-1])])
+    assert one == other and one.zcr == 0.5
