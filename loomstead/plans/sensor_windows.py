@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import hash_number, local_day
+from ..functions.columns import guarded_corr, hash_number, local_day
 from ..operators import features as X
 from ..operators import scene_rules as R
 from ..operators import timeline as T
@@ -106,14 +106,7 @@ def imu_features(w: DataFrame) -> DataFrame:
 
 def guarded_corr_of(a: str, b: str):
     """Correlation of two channels over the positions that both have."""
-    return guarded_corr_pair(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(b)))
-
-
-def guarded_corr_pair(a, b):
-    spread = F.stddev_pop(a) * F.stddev_pop(b)
-    flat = (F.count(a) < 2) | (F.stddev_pop(a) < 1e-12) | (F.stddev_pop(b) < 1e-12)
-    r = F.when(~flat, F.covar_pop(a, b) / F.when(spread > 0, spread))
-    return F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)), F.lit(0.0))
+    return guarded_corr(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(b)))
 
 
 def _spectra(values, rates):
