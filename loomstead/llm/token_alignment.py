@@ -40,8 +40,9 @@ MODEL_A, MODEL_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: White space of either library (fixed values: the code points with the property of that name).
 SPACES = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
-#: Code points of a portion of a long text; how many chunks are kept.
-PORTION, KEPT = 1 << 20, 1 << 19
+#: Code points of a portion of a long text, and of the texts that are aligned at a time; how many chunks and how many
+#: bytes of what is known of them are kept; how many chunks are encoded together. A worker's memory follows from these.
+PORTION, KEPT, KEPT_BYTES, LESSON = 1 << 20, 1 << 17, 1 << 25, 1 << 14
 
 #: A pair is its A id times STEP, plus its B id; a slice has fewer texts than PLACES.
 STEP, PLACES = 1 << 20, 1 << 16
@@ -81,12 +82,14 @@ class Learnt:
         self.ends = np.zeros(1, np.int64)
         self.pairs = np.zeros(0, np.int64)
         self.texts: list[bytes] = []
+        self.bytes = 0
 
     def add(self, chunks: list[str], counts: np.ndarray, pairs: np.ndarray, texts: list[bytes]) -> None:
         self.numbers.update(zip(chunks, range(len(self.texts), len(self.texts) + len(chunks))))
         self.counts, self.pairs = np.concatenate((self.counts, counts)), np.concatenate((self.pairs, pairs))
         self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(counts[:, 3])))
         self.texts += texts
+        self.bytes += pairs.nbytes + sum(map(len, chunks)) + sum(map(len, texts))
 
 
 #: Number of a chunk that is not spelt byte by byte.
@@ -174,12 +177,14 @@ class Pair:
 
     def numbered(self, chunks: list[str]) -> np.ndarray:
         """The chunks' numbers; those not known yet are learnt."""
-        if len(self.learnt.texts) > KEPT:
+        if len(self.learnt.numbers) > KEPT or self.learnt.bytes > KEPT_BYTES:
             self.learnt = Learnt()
         numbers = self.learnt.numbers
         fresh = [c for c in set(chunks) if c not in numbers]
         tails = [c for c in fresh if c[-1] in SPACES]  # the end of a text
-        self.learn(sorted(c for c in fresh if c[-1] not in SPACES))
+        solid = sorted(c for c in fresh if c[-1] not in SPACES)
+        for at in range(0, len(solid), LESSON):
+            self.learn(solid[at : at + LESSON])
         for c in tails:
             self.learn([c])
         return np.array([numbers[c] for c in chunks], np.int64)
@@ -229,7 +234,7 @@ class Pair:
             for portion in self.portions(text) if text else ():
                 waiting.append((place, self.chunks.findall(portion)))
                 open_ += len(portion)
-                if open_ >= 4 * PORTION:
+                if open_ >= PORTION:
                     work(waiting)
                     open_, waiting = 0, []
         if waiting:
@@ -266,7 +271,7 @@ def _slices(rows: DataFrame, model_a: str | None, model_b: str | None) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, first = pair_of(model_a, model_b), TaskContext.get().partitionId() << 32
-        small = (part.slice(at, PLACES) for part in slices(batches, "text", 4 * SLICE_BYTES) for at in range(0, part.num_rows, PLACES))
+        small = (part.slice(at, PLACES) for part in slices(batches, "text", 2 * SLICE_BYTES) for at in range(0, part.num_rows, PLACES))
         for number, part in enumerate(small):
             totals, digests, keys, times = own.align(part.column(1).to_pylist())
             different, held = np.unique(keys // PLACES, return_counts=True)

@@ -124,3 +124,19 @@ def test_rows(spark):
     assert (big.n_a, big.n_links) == (totals[0, 0], totals[0, 3]) == (len(A.encode(" " + long).ids), times.sum())
     assert token_alignment.token_alignment(frame.limit(0)).count() == 0
     assert by_hand(["lorem"])[0][:4] == next(tuple(r)[1:5] for r in out if r.doc_id is None)
+
+
+def test_memory_of_a_worker_is_bounded(monkeypatch):
+    monkeypatch.setattr(token_alignment, "KEPT_BYTES", 4000)
+    monkeypatch.setattr(token_alignment, "LESSON", 8)
+    own = token_alignment.Pair(public_tokenizers.path(token_alignment.MODEL_A), public_tokenizers.path(token_alignment.MODEL_B))
+    lessons, learn = [], own.learn
+    monkeypatch.setattr(own, "learn", lambda chunks: (lessons.append(len(chunks)), learn(chunks)))
+    texts = [" ".join(f"word{i * 40 + j}x" for j in range(40)) for i in range(20)]
+    most = 0
+    for text, want in zip(texts, by_hand(texts)):
+        totals, digests, _, _ = own.align([text])
+        assert (*totals[0].tolist(), digests[0]) == (*want[:4], want[6])
+        most = max(most, own.learnt.bytes)
+    assert max(lessons) <= 8 and most < 4000 + 40 * 400
+    assert len(own.learnt.numbers) < 400  # of 800 different chunks
