@@ -168,8 +168,9 @@ def window_features(spark, sf_dir):
     w = windows(spark, sf_dir)
     mix = X.event_mix(w, ["device", "window_index"], "kind", KINDS, 24.0)
     v = F.col("value")
+    mean = F.round(F.avg("value"), 9)  # a rule's bound must not be crossed by the sum's rounding, which the order of rows decides
     motion = w.groupBy("device", "window_index").agg(
-        F.avg((v < 20).cast("int")).alias("low"), F.avg(((v >= 20) & (v < 80)).cast("int")).alias("mid"), F.avg((v >= 80).cast("int")).alias("high"), (F.avg("value") / 100).alias("mean"),
+        F.avg((v < 20).cast("int")).alias("low"), F.avg(((v >= 20) & (v < 80)).cast("int")).alias("mid"), F.avg((v >= 80).cast("int")).alias("high"), (mean / 100).alias("mean"),
         F.count(F.lit(1)).cast("double").alias("n"), ((F.max("wall") - F.min("wall")) / 10000.0).alias("span"), F.countDistinct("kind").alias("kinds"), F.bool_or("time_gap").alias("any_gap"),
     )
     both = mix.join(motion, ["device", "window_index"])

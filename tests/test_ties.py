@@ -1,9 +1,14 @@
 """Results that rounding errors, the order of rows or nulls must not decide."""
 
+from datetime import datetime, timedelta
+from itertools import permutations
+
 from pyspark.sql import functions as F
 
 from loomstead.functions.columns import guarded_corr, round_away
 from loomstead.operators import features as X
+from loomstead.plans.catalog import QUERIES  # noqa: F401  enters the queries
+from loomstead.plans.feature_queries import window_features
 
 
 def test_one_pair_has_no_correlation(spark):
@@ -25,3 +30,15 @@ def test_sides_do_not_depend_on_arrival(spark):
     rows = [(1, 1, 0.1), (1, 2, 0.2), (1, 3, 0.3)]
     one, other = ([X.crossings_and_jerk(spark.createDataFrame(r, "g int, t int, v double").coalesce(1), ["g"], ["t"], "v").first() for r in (rows, rows[::-1])])
     assert one == other and one.zcr == 0.5
+
+
+def test_order_of_rows_does_not_fire_a_rule(spark, tmp_path):
+    # the mean of these is 50; their sum is above 150 in some orders and 150 in others
+    hour = datetime(2024, 1, 1)
+    rows = []
+    for user, values in enumerate(permutations((0.02, 70.3, 79.68))):
+        rows += [(10 * user + i, hour + timedelta(minutes=i), user, "click", v) for i, v in enumerate((*values, 1.0))]
+        rows[-1] = (rows[-1][0], hour + timedelta(hours=30), user, "click", 1.0)
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    first = window_features(spark, str(tmp_path)).where("window_index = 0").select("ui_node_count_mean", "gyro_mag_mean").collect()
+    assert len(first) == 6 and {tuple(r) for r in first} == {(3.0, 0.5)}
